@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from persistra.llm.base import table
 
@@ -13,6 +14,46 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_minhash_dedup": op8_minhash_dedup}
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from persistra.llm.mixing import mixture
+
+    return mixture(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "source", "n_tokens", "weight", "copies")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from persistra.llm.language_id import held_out, identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, train(docs), "doc_id")
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op6_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from persistra.llm.phrase_dedup import remove_repeats
+
+    cut = remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from persistra.llm.bpe import encode_and_decode
+
+    return encode_and_decode(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    "op2_source_mixing": op2_source_mixing,
+    "op4_language_id": op4_language_id,
+    "op6_phrase_dedup": op6_phrase_dedup,
+    "op8_minhash_dedup": op8_minhash_dedup,
+    "op10_bpe": op10_bpe,
+    "pipeline": pipeline,
+}
 
 ORACLES: dict[str, str] = {}
