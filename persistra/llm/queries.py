@@ -8,18 +8,36 @@ from pyspark.sql import functions as F
 from persistra.llm.base import table
 
 
+def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from persistra.llm.matroska import store_and_read_back
+
+    return store_and_read_back(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from persistra.llm.minhash_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from persistra.llm.ann import search
+
+    return search(table(spark, sf_dir, "embeddings"))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from persistra.llm.mixing import mixture
 
     return mixture(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "source", "n_tokens", "weight", "copies")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from persistra.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from persistra.llm.language_id import held_out, identify, train
 
@@ -28,6 +46,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from persistra.llm.chat_format import format_conversations, with_control_strings
+
+    return format_conversations(with_control_strings(table(spark, sf_dir, "conversations")))
+
+
 def op6_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from persistra.llm.phrase_dedup import remove_repeats
 
@@ -35,6 +59,12 @@ def op6_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from persistra.llm.url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from persistra.llm.bpe import encode_and_decode
 
@@ -48,12 +78,24 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ann_search": op1_ann_search,
     "op2_source_mixing": op2_source_mixing,
+    "op3_html_text": op3_html_text,
     "op4_language_id": op4_language_id,
+    "op5_chat_format": op5_chat_format,
     "op6_phrase_dedup": op6_phrase_dedup,
+    "op7_matroska": op7_matroska,
     "op8_minhash_dedup": op8_minhash_dedup,
+    "op9_url_filter": op9_url_filter,
     "op10_bpe": op10_bpe,
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {}
+
+def _oracles() -> dict[str, str]:
+    from persistra.llm.url_filter import ORACLE
+
+    return {"op9_url_filter": ORACLE}
+
+
+ORACLES: dict[str, str] = _oracles()
