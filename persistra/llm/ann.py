@@ -7,16 +7,18 @@ loss: the error parallel to the vector weighs ``eta`` times the error across
 it, because it moves inner products most.
 
 A query reads its nearest lists.  Nearness is Euclidean, so the scan scores
-2 <q, x~> - |x|^2 with the exact norm: every byte of a code is two four-bit
-codes, looked up in one table of their summed products.  The best candidates
-of all lists are reranked with exact distances in double precision.
+2 <q, x~> - |x~|^2, an inner product with the quantised vector and its squared
+norm: every byte of a code is two four-bit codes, looked up in one table of
+their summed products.  In each block the best candidates, and all that tie
+with the last of them, are reranked with exact distances in double precision;
+the best of all blocks are the result.
 
 The model (centres, scales, code centres) is fitted on a sample of at most
 ``TRAIN_VALUES`` numbers, chosen by a hash of vec_id; every row is indexed.
 
 Scale and skew.  A list is cut into blocks of about ``BLOCK_ROWS`` rows and its
 queries into groups of about ``BLOCK_QUERIES``, so a list that holds a third of
-all rows is many tasks.  Blocks keep their best candidates only.  List sizes
+all rows is many tasks.  A block returns k rows for each query.  List sizes
 (as many numbers as there are lists) are all that reaches the driver.
 
 Defined cases.  Vectors that are null, empty, zero, hold a null or a non-finite
@@ -40,17 +42,32 @@ from persistra.llm.base import Scratch
 
 TRAIN_VALUES = 1 << 22
 TRAIN_ROWS = 1 << 16
-ROWS_PER_LIST, MAX_LISTS = 256, 2048
-PROBES = 40
-CANDIDATES = 192
+ROWS_PER_LIST, MAX_LISTS = 128, 2048
+PROBES = 96
+#: rows of each block that are reranked, besides ties
+CANDIDATES = 128
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 2048
 #: inner products above this cosine are the ones to keep exact; it sets eta
 COSINE = 0.2
 
 
-def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Centres; starts from evenly spaced rows, empty ones restart at the farthest rows."""
-    centre = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
+def spread(x: np.ndarray, k: int, seed: int = 5) -> np.ndarray:
+    """k starting centres: rows drawn in proportion to their squared distance from those drawn before."""
+    x = x[np.linspace(0, len(x) - 1, min(len(x), 16384)).astype(int)]
+    rng = np.random.default_rng(seed)
+    norm = (x.astype(np.float64) ** 2).sum(1)
+    picks, far = [0], np.full(len(x), np.inf)
+    for _ in range(k - 1):
+        c = x[picks[-1]]
+        far = np.minimum(far, np.maximum(norm - 2 * (x @ c) + norm[picks[-1]], 0))
+        total = np.cumsum(far)
+        picks.append(min(int(np.searchsorted(total, rng.random() * total[-1])), len(x) - 1))
+    return x[picks].copy()
+
+
+def kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
+    """Centres; empty ones restart at the farthest rows."""
+    centre = spread(x, k)
     for _ in range(rounds):
         near, far = nearest(x, centre)
         size = np.bincount(near, minlength=k)
@@ -141,11 +158,13 @@ class Quantiser:
             along = rest + ((o - new[c]) * u).sum(1)
             self.codes[p] = new
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """List and packed codes (two to a byte) of each row."""
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """List, packed codes (two to a byte) and squared norm of what they stand for, of each row."""
         near, _ = nearest(x, self.centre)
         code, _ = self._assign(x, near)
-        return near, (code[:, 0::2] | code[:, 1::2] << 4).astype(np.uint8)
+        parts = self.codes[np.arange(len(self.codes)), code].reshape(len(x), -1)
+        back = self.centre[near].astype(np.float64) + parts * self.scale[near, None].astype(np.float64)
+        return near, (code[:, 0::2] | code[:, 1::2] << 4).astype(np.uint8), (back**2).sum(1)
 
     def tables(self, query: np.ndarray, lst: int) -> np.ndarray:
         """Products of the query with both four-bit parts of every byte value: bytes x 256."""
@@ -165,11 +184,10 @@ def _index(model: Quantiser, dim: int):
             if not batch.num_rows:
                 continue
             x = _padded(batch.column("embedding"), dim)
-            near, code = model.encode(x)
-            norm = (x.astype(np.float64) ** 2).sum(1)
+            near, code, norm = model.encode(x)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id"), pa.array(near.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(norm)],
-                ["vec_id", "lst", "code", "norm"],
+                [batch.column("vec_id"), pa.array(near.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(norm), batch.column("embedding")],
+                ["vec_id", "lst", "code", "norm", "embedding"],
             )
 
     return run
@@ -193,33 +211,34 @@ def _probes(model: Quantiser, dim: int, sizes: np.ndarray, probes: int, least: i
     return run
 
 
-def _scan(model: Quantiser, dim: int, keep: int):
+def _scan(model: Quantiser, dim: int, keep: int, k: int):
     def run(block: pa.Table, queries: pa.Table) -> pa.Table:
         found = []
         if len(block) and len(queries):
             block = block.sort_by("vec_id")
             ids = block["vec_id"].to_numpy()
             norm = block["norm"].to_numpy()
+            rows = _padded(block["embedding"].combine_chunks(), dim).astype(np.float64)
             code = np.ascontiguousarray(np.frombuffer(b"".join(block["code"].to_pylist()), np.uint8).reshape(len(ids), -1).T)
             lst = block["lst"][0].as_py()
             x = _padded(queries["q"].combine_chunks(), dim)
             for qid, q in zip(queries["query_id"].to_pylist(), x):
                 table = model.tables(q, lst)
-                dot = np.full(len(ids), float(q @ model.centre[lst]))
+                dot = np.full(len(ids), float(q.astype(np.float64) @ model.centre[lst]))
                 for b, c in enumerate(code):
                     dot += table[b][c]
-                # squared distance but for the query's own norm; rows are in order of vec_id
                 near = norm - 2 * dot
                 near[ids == qid] = np.inf
-                best = np.argpartition(near, keep - 1)[:keep] if len(near) > keep else np.arange(len(near))
-                if len(near) > keep:  # of equal scores at the border, the smaller ids
-                    edge = near[best].max()
-                    inner = np.flatnonzero(near < edge)
-                    best = np.concatenate([inner, np.flatnonzero(near == edge)[: keep - len(inner)]])
-                best = best[np.isfinite(near[best])]
-                found.append((np.full(len(best), qid), ids[best], near[best]))
+                best = np.flatnonzero(np.isfinite(near))
+                if len(best) > keep:
+                    edge = np.partition(near, keep - 1)[keep - 1]
+                    # rows of one code differ by rounding at most
+                    best = np.flatnonzero(near <= edge + 1e-9 * (abs(edge) + 1))
+                score = np.sqrt(((rows[best] - q.astype(np.float64)) ** 2).sum(1))
+                order = np.lexsort((ids[best], score))[:k]
+                found.append((np.full(len(order), qid), ids[best][order], score[order]))
         cols = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "near": pa.array(cols[2], pa.float64())})
+        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
     return run
 
@@ -251,9 +270,8 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, probes: int = PROB
     if not len(sample):
         sample = kept.orderBy(drawn, "vec_id").limit(want).toArrow()
     x = _padded(sample["embedding"].combine_chunks(), dim)
-    # rows in hash order: evenly spaced ones are a fair start for the centres
     model = Quantiser.fit(x, max(1, min(MAX_LISTS, n // ROWS_PER_LIST, len(x) // 32)))
-    index = scratch.keep(kept.mapInArrow(_index(model, dim), "vec_id long, lst int, code binary, norm double"), "index")
+    index = scratch.keep(kept.mapInArrow(_index(model, dim), "vec_id long, lst int, code binary, norm double, embedding array<float>"), "index")
     sizes = np.zeros(len(model.centre), np.int64)
     for r in index.groupBy("lst").count().collect():
         sizes[r["lst"]] = r["count"]
@@ -272,13 +290,6 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, probes: int = PROB
     every_group, every_block = F.sequence(F.lit(0), groups - 1), F.sequence(F.lit(0), blocks - 1)
     left = index.withColumn("blk", F.pmod(F.xxhash64("vec_id"), blocks).cast("int")).withColumn("grp", F.explode(every_group))
     right = asked.withColumn("grp", F.pmod(F.xxhash64("query_id"), groups).cast("int")).withColumn("blk", F.explode(every_block))
-    found = left.groupBy("lst", "blk", "grp").cogroup(right.groupBy("lst", "blk", "grp")).applyInArrow(_scan(model, dim, candidates), "query_id long, vec_id long, near double")
-    near = found.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy("near", "vec_id"))).filter(F.col("r") <= candidates)
-    exact = (
-        near.select("query_id", "vec_id")
-        .join(kept.withColumnRenamed("embedding", "x"), "vec_id")
-        .join(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
-        .withColumn("score", F.sqrt(F.expr("aggregate(zip_with(x, q, (a, b) -> double(a) - double(b)), 0d, (s, v) -> s + v * v)")))
-    )
-    best = exact.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))).filter(F.col("rank") <= k)
+    found = left.groupBy("lst", "blk", "grp").cogroup(right.groupBy("lst", "blk", "grp")).applyInArrow(_scan(model, dim, candidates, k), "query_id long, vec_id long, score double")
+    best = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))).filter(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")
