@@ -14,28 +14,32 @@ from persistra.llm import bpe, language_id, minhash_dedup, mixing, phrase_dedup
 from persistra.llm.base import Scratch, table
 
 
+#: what every stage but the last returns; further columns of the input are left out
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language cannot be told (no letters) go; lang becomes the prediction."""
     model = language_id.train(docs)
-    found = language_id.identify(docs, model, *docs.columns).filter("lang_pred <> 'und'")
-    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    found = language_id.identify(docs, model, *COLUMNS).filter("lang_pred <> 'und'")
+    return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the least id stays."""
     gone = minhash_dedup.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring passages are cut out; texts that lose nothing stay as they are."""
-    cut = phrase_dedup.remove_repeats(docs, carry=docs.columns)
-    return cut.withColumn("n_chars", F.expr("if(n_removed > 0, length(text), n_chars)").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    cut = phrase_dedup.remove_repeats(docs, carry=COLUMNS)
+    return cut.withColumn("n_chars", F.expr("if(n_removed > 0, length(text), n_chars)").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights; every document is drawn at least once."""
-    return mixing.drawn(docs)
+    return mixing.drawn(docs.select(*COLUMNS))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,8 @@ lost, small sources are repeated.
 Defined cases.  A null source is a source of its own.  Texts without words
 (null, empty) count no tokens; a source without tokens has weight 0 and is
 passed once.  Repeated rows are drawn like any others.  One source: weight 1.
-An empty table gives an empty result.
+An empty table gives an empty result.  Extra columns come along, but for ones
+named like those added.
 """
 
 from __future__ import annotations
@@ -84,13 +85,23 @@ def exponent(sources: DataFrame, target: float, max_epochs: float, budget: float
     return max(math.floor(even * 1e8) / 1e8, math.ceil(spare * 1e8) / 1e8)
 
 
-def mixture(docs: DataFrame, target: float = TARGET, max_epochs: float = MAX_EPOCHS, budget: float | None = None, block_docs: int = BLOCK_DOCS, seed: int = 1) -> DataFrame:
+def mixture(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` with n_tokens, weight (of the source) and copies (times drawn)."""
+    names = [c for c in docs.columns if c.lower() not in ("n_tokens", "weight", "copies")]
+    return planned(docs, **how).select(*(f"row.{c}" for c in names), "n_tokens", "weight", "copies")
+
+
+def drawn(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs``, each as often as it is drawn."""
+    return planned(docs, **how).filter("copies > 0").select("row", F.explode(F.expr("sequence(1L, copies)"))).select("row.*")
+
+
+def planned(docs: DataFrame, target: float = TARGET, max_epochs: float = MAX_EPOCHS, budget: float | None = None, block_docs: int = BLOCK_DOCS, seed: int = 1) -> DataFrame:
+    """row (all columns of ``docs``), n_tokens, weight, copies."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    names = docs.columns
     key = F.struct(F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("none"))
-    named = docs.select(F.struct(*names).alias("row"), key.alias("key"), n_words().alias("n_tokens"), F.xxhash64(F.lit(seed), "doc_id").alias("draw"))
+    named = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"), n_words().alias("n_tokens"), F.xxhash64(F.lit(seed), "doc_id").alias("draw"))
     counted = scratch.keep(named.select("key", "n_tokens", "draw"), "counted")
     sources = scratch.keep(counted.groupBy("key").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("d")), "sources")
     filled = sources.filter("n > 0")
@@ -114,11 +125,5 @@ def mixture(docs: DataFrame, target: float = TARGET, max_epochs: float = MAX_EPO
     whole = placed.filter("end is null or block <> end").withColumn("copies", F.expr("full + if(block < end, 1L, 0L)"))
     last = W.partitionBy("key").orderBy("draw", "row.doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, 0)
     edge = placed.filter("block = end").withColumn("copies", F.expr("full") + F.when(F.sum("n_tokens").over(last) <= F.col("room"), 1).otherwise(0))
-    out = ["row.*", "n_tokens", "weight", F.col("copies").cast("long").alias("copies")]
+    out = ["row", "n_tokens", "weight", F.col("copies").cast("long").alias("copies")]
     return whole.select(*out).unionByName(edge.select(*out))
-
-
-def drawn(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs``, each as often as it is drawn."""
-    mixed = mixture(docs, **how).filter("copies > 0")
-    return mixed.withColumn("copy", F.explode(F.expr("sequence(1L, copies)"))).select(*docs.columns)
