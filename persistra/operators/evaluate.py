@@ -52,7 +52,7 @@ def metrics(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     )
     return inner.groupBy(*by).agg(
         F.sum("n").alias("n"),
-        (F.sum("a") / F.sum("n")).alias("mae"),
+        F.round(F.sum("a") / F.sum("n"), 9).alias("mae"),
         F.avg("g").alias("macro_mae"),
         F.max("g").alias("worst_group_mae"),
         F.percentile("g", F.lit(0.9)).alias("p90_group_mae"),

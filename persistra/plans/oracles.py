@@ -110,7 +110,7 @@ PREDICTIONS = f"""{CASES}, pred AS (
          (1 - i / 4::DOUBLE) * pred_2 + (1 - (1 - i / 4::DOUBLE)) * 0.2::DOUBLE AS prediction, true_2 AS y_true
   FROM cases, range(4) r(i)
 ), ok AS (SELECT *, prediction - y_true AS err FROM pred WHERE prediction IS NOT NULL AND y_true IS NOT NULL)"""
-METRICS = """SELECT model, strategy, sum(n)::BIGINT AS n, round(sum(a) / sum(n), 6) AS mae, round(avg(g), 6) AS macro_mae, round(max(g), 6) AS worst_group_mae,
+METRICS = """SELECT model, strategy, sum(n)::BIGINT AS n, round(round(sum(a) / sum(n), 9), 6) AS mae, round(avg(g), 6) AS macro_mae, round(max(g), 6) AS worst_group_mae,
   round(quantile_cont(g, 0.9), 6) AS p90_group_mae, round(sqrt(sum(q) / sum(n)), 6) AS rmse, round(sum(s) / sum(n), 6) AS bias
  FROM (SELECT model, strategy, group_id, count(*) AS n, sum(abs(err)) AS a, sum(err * err) AS q, sum(err) AS s, avg(abs(err)) AS g FROM ok GROUP BY ALL) GROUP BY model, strategy"""
 FOLDS = "folds AS (SELECT 'r' || r_regionkey AS group_id, (r_regionkey % 3)::INT AS fold FROM region)"
@@ -193,7 +193,7 @@ ORACLES: dict[str, str] = {
       (SELECT count(DISTINCT x) FROM n) AS unique_nodes, (SELECT round(avg(d), 6) FROM (SELECT count(*) AS d FROM n GROUP BY x)) AS node_hits_mean,
       (SELECT max(d) FROM (SELECT count(*) AS d FROM n GROUP BY x)) AS node_hits_max, (SELECT min(pos) FROM k WHERE k = 2) AS first_node_collision FROM s""",
     "recent_events": f"""WITH {DENSE}, l AS (FROM lg ORDER BY pos DESC LIMIT 100), n AS (SELECT u AS x, pos * 2 AS place FROM l UNION ALL SELECT v, pos * 2 + 1 FROM l),
-      i AS (SELECT x, row_number() OVER (ORDER BY min(place)) - 1 AS i FROM n GROUP BY x) SELECT pos, a.i AS a, b.i AS b, round(t, 6) AS t FROM l JOIN i a ON a.x = u JOIN i b ON b.x = v""",
+      i AS (SELECT x, row_number() OVER (ORDER BY min(place)) - 1 AS i FROM n GROUP BY x) SELECT pos, a.i AS a, b.i AS b, round(round_even(t, 8), 6) AS t FROM l JOIN i a ON a.x = u JOIN i b ON b.x = v""",
     "nonstationarity": f"""WITH {DENSE}, b AS (SELECT i AS b, (SELECT count(*) FROM lg WHERE least(9, floor(t * 10)::INT) = i)::DOUBLE AS c FROM range(10) r(i))
       SELECT round(stddev_pop(c) / avg(c), 6) AS rate_cv, round(regr_slope(c, b::DOUBLE) / avg(c), 6) AS slope_over_mean,
       round(sum(CASE WHEN b >= 5 THEN c ELSE 0 END) / nullif(sum(CASE WHEN b < 5 THEN c ELSE 0 END), 0), 6) AS late_early_ratio FROM b""",
