@@ -7,6 +7,7 @@ where that setting is absent (tests on one machine).
 
 from __future__ import annotations
 
+import functools
 import math
 import tempfile
 import uuid
@@ -87,6 +88,12 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+@functools.lru_cache(maxsize=1)
+def word_hashes() -> WordHashes:
+    """One for each worker process, so that a word is hashed once for many tasks."""
+    return WordHashes()
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     """Maximal runs of bytes other than space and 0x09-0x0D, as they stand."""
     return text.split() if text else []

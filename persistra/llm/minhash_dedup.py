@@ -13,10 +13,13 @@ share a listed one (prefix filtering), and values that very many documents
 hold are listed only for documents made of little else.
 
 Skew.  Equal sets are collapsed first (grouped minimum, combined before the
-shuffle).  A list is never expanded into its pairs: at first each member is
-compared with one leader; then only lists whose members still lie in several
-components are compared, across components, long lists block against block
-inside tasks that emit nothing but pairs that pass the estimate.
+shuffle).  A list is never expanded into its pairs.  In a few rounds each
+member is compared with the likeliest of some leaders drawn from its lists,
+and what is linked becomes one component.  Then only lists whose members still
+lie in several components are compared, members outside the list's largest
+component against all, each pair in the first list that both are in; long lists
+block against block, with full sets, inside tasks that emit no more links than
+it takes to join the components.
 
 Defined cases.  Null or word-less text: empty set, component of its own.
 Fewer words than a shingle: the whole sequence is the one element.  Equal
@@ -33,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from persistra.llm.base import Scratch, WordHashes, connected_components, mix64, words_of
+from persistra.llm.base import Scratch, WordHashes, connected_components, mix64, word_hashes, words_of
 
 K = 32
 #: least overlap of two sketches of K values that counts as possible
@@ -42,6 +45,10 @@ WIDTH = 5
 #: lists up to this length are compared pair by pair, longer ones in blocks
 SHORT_LIST = 48
 BLOCK = 256
+COLUMNS = 1 << 14
+#: rounds in which members are compared with leaders of each list, and leaders drawn a round besides the most central
+ROUNDS = 2
+LEADERS = 2
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -62,7 +69,7 @@ def shingle_set(text: bytes | None, hashes: WordHashes, width: int = WIDTH) -> n
 
 def _sketches(width: int, k: int):
     def run(batches):
-        hashes = WordHashes()
+        hashes = word_hashes()
         for batch in batches:
             n, sig, sketch = [], [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
@@ -82,7 +89,7 @@ def _sets(width: int):
     """Full sets of the documents that stand for a node."""
 
     def run(batches):
-        hashes = WordHashes()
+        hashes = word_hashes()
         for batch in batches:
             node, sets = [], []
             for nid, sig, text in zip(batch.column("node").to_pylist(), batch.column("sig").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
@@ -109,35 +116,69 @@ def _confirm(percent: int):
     return run
 
 
-def _block_pairs(k: int, least: int, percent: int):
-    """Pairs across components of two blocks of one list that pass the estimate."""
+def _first_meetings(v: int, xs: list[dict], ys: list[dict]) -> tuple[list[dict], list[dict]]:
+    """Members with a partner in another component whom they meet in no earlier list than this one.
+
+    A pair is compared in the first list that both are in; lists have one order."""
+    code: dict[int, int] = {}
+    for m in ys:
+        for w in m["listed"]:
+            code.setdefault(w, len(code))
+    mine, theirs = np.zeros((len(xs), len(code)), np.float32), np.zeros((len(ys), len(code)), np.float32)
+    for i, m in enumerate(xs):
+        for w in m["listed"]:
+            if w == v:
+                break
+            if w in code:
+                mine[i, code[w]] = 1
+    for j, m in enumerate(ys):
+        theirs[j, [code[w] for w in m["listed"]]] = 1
+    first = (mine @ theirs.T == 0) & (np.array([m["comp"] for m in xs])[:, None] != np.array([m["comp"] for m in ys])[None])
+    return [m for m, ok in zip(xs, first.any(1)) if ok], [m for m, ok in zip(ys, first.any(0)) if ok]
+
+
+def _block_links(percent: int):
+    """Confirmed links across components between two blocks of one list, as few as join what they join."""
 
     def run(batches):
         for batch in batches:
+            a, b = [], []
             for row in batch.to_pylist():
-                out_a, out_b = [], []
-                xs, ys = row["xs"], row["ys"]
-                values = np.concatenate([np.asarray(m["sketch"], np.int64) for m in xs + ys])
-                owner = np.repeat(np.arange(len(xs) + len(ys)), [len(m["sketch"]) for m in xs + ys])
-                _, code = np.unique(values, return_inverse=True)
-                has = np.zeros((len(xs) + len(ys), int(code.max()) + 1), np.float32)
-                has[owner, code] = 1
-                shared = has[: len(xs)] @ has[len(xs) :].T
-                size = np.array([len(m["sketch"]) for m in xs + ys], np.float32)
-                n = np.array([m["n"] for m in xs + ys], np.int64)
-                comp = np.array([m["comp"] for m in xs + ys], np.int64)
-                node = np.array([m["node"] for m in xs + ys], np.int64)
-                p, q = slice(0, len(xs)), slice(len(xs), None)
-                # shared counts all common values, so it is at least the union sketch's own count
-                union = np.minimum(k, size[p, None] + size[None, q] - shared)
-                ok = (k * shared >= least * union) & (comp[p, None] != comp[None, q])
-                ok &= 100 * np.minimum(n[p, None], n[None, q]) >= percent * np.maximum(n[p, None], n[None, q])
-                if row["i"] == row["j"]:
-                    ok &= node[p, None] < node[None, q]
-                i, j = np.nonzero(ok)
-                out_a.append(np.minimum(node[p][i], node[q][j]))
-                out_b.append(np.maximum(node[p][i], node[q][j]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+                xs, ys = _first_meetings(row["v"], row["xs"], row["ys"])
+                if not xs:
+                    continue
+                both = xs + ys
+                sets = [np.frombuffer(m["full"], np.int64) for m in both]
+                n = np.array([len(s) for s in sets])
+                comp = np.array([m["comp"] for m in both])
+                values, code, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+                # values that one member alone holds are in no intersection
+                column = np.where(held > 1, np.cumsum(held > 1) - 1, -1)[code]
+                owner = np.repeat(np.arange(len(both)), n)
+                x = len(xs)
+                shared = np.zeros((x, len(both) - x), np.float32)
+                last = int(column.max(initial=-1)) + 1
+                for at in range(0, last, COLUMNS):
+                    pick = (column >= at) & (column < at + COLUMNS)
+                    has = np.zeros((len(both), min(COLUMNS, last - at)), np.float32)
+                    has[owner[pick], column[pick] - at] = 1
+                    shared += has[:x] @ has[x:].T
+                common = shared.astype(np.int64)
+                linked = 100 * common >= percent * (n[:x, None] + n[None, x:] - common)
+                parent: dict[int, int] = {}
+
+                def root(c: int) -> int:
+                    while parent.get(c, c) != c:
+                        c = parent[c]
+                    return c
+
+                for i, j in np.argwhere(linked & (comp[:x, None] != comp[None, x:])).tolist():
+                    p, q = root(int(comp[i])), root(int(comp[x + j]))
+                    if p != q:
+                        parent[max(p, q)] = min(p, q)
+                        a.append(both[i]["node"])
+                        b.append(both[x + j]["node"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
@@ -157,6 +198,15 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _mixed(lists: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """(v, node, comp) of the lists whose members lie in several components."""
+    if comps is None:
+        return lists.withColumn("comp", F.col("node"))
+    placed = lists.join(comps.withColumnRenamed("label", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = placed.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("v")
+    return placed.join(mixed, "v").select("v", "node", "central", "comp")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
@@ -175,18 +225,18 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> D
     )
     held = nodes.select("node", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
     often = held.groupBy("v").agg(F.count("*").alias("c")).filter("c > 1")
-    lists = scratch.keep(
+    prefix = scratch.keep(
         held.join(often, "v")
         .groupBy("node", "s")
         .agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("vs"))
         # values that nobody else holds are the rarest and fill the prefix first
         .withColumn("take", F.expr(f"s - ceil({LEAST} * s / {K}) + 1 - (s - size(vs))"))
         .filter("take > 0")
-        .select("node", F.explode(F.expr("slice(vs, 1, int(take))")).alias("cv"))
-        .select("node", F.col("cv.v").alias("v")),
-        "lists",
+        .select("node", F.expr("aggregate(vs, 0L, (t, x) -> t + x.c)").alias("central"), F.expr("slice(vs.v, 1, int(take))").alias("listed")),
+        "prefix",
     )
-    listed = lists.select("node").distinct().join(nodes.select("node", "rep", "sig"), "node")
+    lists = prefix.select("node", "central", F.explode("listed").alias("v"))
+    listed = prefix.select("node").join(nodes.select("node", "rep", "sig"), "node")
     full = scratch.keep(
         src.join(listed.withColumnRenamed("rep", "doc_id"), "doc_id")
         .select("node", "sig", "text")
@@ -199,40 +249,67 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> D
         side = lambda c: full.select(F.col("node").alias(c), F.col("full").alias(f"f{c}"))
         return pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "fa", "fb").mapInArrow(_confirm(percent), "a long, b long")
 
-    leaders = lists.groupBy("v").agg(F.min("node").alias("a"))
-    stars = lists.join(leaders, "v").filter("a < node").select("a", F.col("node").alias("b")).distinct()
-    best = _estimated(stars, nodes, percent).groupBy("b").agg(F.max_by("a", F.struct("m", -F.col("a"))).alias("a"))
-    edges = scratch.keep(confirmed(best), "edges_1")
-    comps = scratch.keep(connected_components(edges, scratch), "comps_1")
+    comps, edges = None, None
+    for r in range(ROUNDS):
+        open_lists = _mixed(lists, comps)
+        if r:
+            open_lists = scratch.keep(open_lists, f"open_{r}")
+        # a copy with few edits holds the most of its group's values and is near most of its members
+        picks = [F.max_by(F.struct("node", "comp"), F.struct("central", -F.col("node")))]
+        picks += [F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(LEADERS * r + i))) for i in range(LEADERS)]
+        leaders = open_lists.groupBy("v").agg(F.array_distinct(F.array(*picks)).alias("l")).select("v", F.explode("l").alias("l"))
+        stars = (
+            open_lists.join(leaders, "v")
+            .filter("comp <> l.comp")
+            .select(F.col("l.node").alias("a"), F.col("node").alias("b"))
+            .distinct()
+        )
+        likely = _estimated(stars, nodes, percent).groupBy("b").agg(F.sort_array(F.collect_list(F.struct("m", "a")), asc=False).alias("ms"))
+        best = likely.select("b", F.explode(F.expr("slice(ms.a, 1, 2)")).alias("a"))
+        new = scratch.keep(confirmed(best), f"edges_{r}")
+        edges = edges.unionByName(new) if edges else new
+        found = new.count()
+        if found:
+            comps = scratch.keep(connected_components(edges, scratch), f"comps_{r}")
+        if r:
+            scratch.drop(f"open_{r}")
+        if found * 50 < edges.count():
+            break
 
-    placed = lists.join(comps.withColumnRenamed("label", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = placed.groupBy("v").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("v", "c")
-    open_lists = scratch.keep(placed.join(mixed, "v"), "open")
-    short = open_lists.filter(f"c <= {SHORT_LIST}").select("v", "node", "comp")
+    # what still lies in several components of one list: members outside the list's largest against all
+    open_lists = scratch.keep(_mixed(lists, comps), "open")
+    largest = (
+        open_lists.groupBy("v", "comp")
+        .agg(F.count("*").alias("c"))
+        .groupBy("v")
+        .agg(F.sum("c").alias("c"), F.max_by("comp", F.struct("c", "comp")).alias("main"))
+    )
+    rest = scratch.keep(open_lists.join(largest, "v"), "rest")
+    short = rest.filter(f"c <= {SHORT_LIST}")
     across = (
-        short.select("v", F.col("node").alias("a"), F.col("comp").alias("ca"))
-        .join(short.select("v", F.col("node").alias("b"), F.col("comp").alias("cb")), "v")
-        .filter("a < b and ca <> cb")
-        .select("a", "b")
+        short.filter("comp <> main")
+        .select("v", F.col("node").alias("x"), F.col("comp").alias("cx"))
+        .join(short.select("v", F.col("node").alias("y"), F.col("comp").alias("cy")), "v")
+        .filter("cx <> cy")
+        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        .distinct()
     )
-    blocks = (
-        open_lists.filter(f"c > {SHORT_LIST}")
-        .join(nodes.select("node", F.col("n_shingles").alias("n"), "sketch"), "node")
+    close = scratch.keep(_estimated(across, nodes, percent), "close")
+    blocked = (
+        rest.filter(f"c > {SHORT_LIST}")
+        .join(prefix.select("node", "listed"), "node")
+        .join(full, "node")
         .withColumn("blk", F.expr(f"int(pmod(xxhash64(node), ceil(c / {BLOCK})))"))
-        .groupBy("v", "blk")
-        .agg(F.collect_list(F.struct("node", "n", "comp", "sketch")).alias("xs"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    )
-    other = blocks.select("v", F.col("blk").alias("j"), F.col("xs").alias("ys"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    long_across = (
-        blocks.withColumnRenamed("blk", "i")
-        .join(other, "v")
-        .filter("i <= j and not (lo = hi and lo2 = hi2 and lo = lo2)")
-        .select("i", "j", "xs", "ys")
-        .mapInArrow(_block_pairs(K, LEAST, percent), "a long, b long")
     )
-    pairs = scratch.keep(across.unionByName(long_across).distinct(), "pairs_2")
-    more = scratch.keep(confirmed(_estimated(pairs, nodes, percent)), "edges_2")
-    comps = scratch.keep(connected_components(edges.unionByName(more), scratch), "comps_2")
+    held = F.collect_list(F.struct("node", "comp", "listed", "full"))
+    left = blocked.filter("comp <> main").groupBy("v", "blk").agg(held.alias("xs")).select("v", "xs")
+    right = blocked.groupBy("v", "blk").agg(held.alias("ys")).select("v", "ys")
+    long_links = left.join(right, "v").select("v", "xs", "ys").mapInArrow(_block_links(percent), "a long, b long")
+    more = scratch.keep(confirmed(close).unionByName(long_links), "edges")
+    if more.limit(1).count():
+        comps = connected_components(edges.unionByName(more), scratch)
+    elif comps is None:
+        comps = nodes.select("node", F.col("node").alias("label")).limit(0)
     groups = scratch.keep(
         nodes.select("node", "sig", "rep")
         .join(comps, "node", "left")
@@ -240,7 +317,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> D
         .select("sig", "rep", "label"),
         "groups",
     )
-    scratch.drop("lists", "full", "edges_1", "edges_2", "comps_1", "open", "pairs_2", "nodes", "comps_2")
+    scratch.drop("prefix", "full", "open", "rest", "close", "edges", "nodes", *(f"{x}_{r}" for x in ("edges", "comps") for r in range(ROUNDS)))
     least = groups.groupBy("label").agg(F.min("rep").alias("component_id"))
     return (
         rows.select("doc_id", "n_shingles", "sig")
