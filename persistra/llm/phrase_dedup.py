@@ -10,8 +10,8 @@ where their anchors agree.  Neighbouring windows with one anchor form a run.
    as a whole.  Runs found once whose anchor is found elsewhere too are taken
    apart: their windows are hashed and counted.
 2. *Compile.*  Documents are dealt over blocks of a few megabytes; each block
-   is a shard with an Aho-Corasick automaton (pyahocorasick, over sequences of
-   word numbers) of the confirmed phrases that its documents can hold.
+   is a shard with an Aho-Corasick automaton (pyahocorasick, over word numbers)
+   of the confirmed phrases that its documents can hold.
 3. *Locate.*  The block's documents are streamed through the automaton; around
    every hit the runs and windows are checked exactly (two independent 64-bit
    hashes) against the confirmed ones, and their words are removed.
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from persistra.llm.base import Scratch, WordHashes, block_count, mix64, powers, words_of
+from persistra.llm.base import Scratch, WordHashes, block_count, mix64, powers, word_hashes, words_of
 
 WIDTH = 35
 GRAM = 6
@@ -54,13 +54,23 @@ def sliding_argmin(h: np.ndarray, w: int) -> np.ndarray:
     return np.where(h[a] <= h[b], a, b)
 
 
+_KNOWN: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first n powers (or more), computed once for a process."""
+    if len(_KNOWN.get(base, ())) < n:
+        _KNOWN[base] = powers(base, max(4096, 2 * n))
+    return _KNOWN[base]
+
+
 class Windows:
     """Anchors, runs and window hashes of one document's words."""
 
     def __init__(self, h: np.ndarray, width: int, gram: int):
         self.width, n = width, len(h)
         grams = np.zeros(n - gram + 1, np.uint64)
-        p = powers(_B1, gram)
+        p = _powers(_B1, gram)
         for j in range(gram):
             grams += h[j : n - gram + 1 + j] * p[j]
         self.grams = mix64(grams)
@@ -70,9 +80,9 @@ class Windows:
         self.at = self.anchor[self.first]
         self.phrase = self.grams[self.at]
         # prefix sums of a second, independent hash of the words
-        self.power = powers(_B2, n + 1)
+        self.power = _powers(_B2, n + 1)
         self.prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(h ^ _SALT) * self.power[:n], dtype=np.uint64)])
-        self.inverse = powers(pow(_B2, -1, 1 << 64), n + 1)
+        self.inverse = _powers(pow(_B2, -1, 1 << 64), n + 1)
 
     def _span(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return (self.prefix[stop] - self.prefix[start]) * self.inverse[start]
@@ -95,7 +105,7 @@ def _expand(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _runs(width: int, gram: int):
     def run(batches):
-        hashes = WordHashes()
+        hashes = word_hashes()
         for batch in batches:
             blk, phrase, whole = [], [], []
             for b, text in zip(batch.column("blk").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
@@ -139,7 +149,7 @@ def _take_apart(width: int, gram: int):
         keys, weight = keys[order], np.where(_values(apart["full"]), 2, 1)[order].astype(np.int32)
         leads = np.unique(_values(wanted.filter(wanted["lead"])["phrase"]).view(np.uint64))
         done: set[int] = set()
-        hashes, out, texts = WordHashes(), [], {}
+        hashes, out, texts = word_hashes(), [], {}
         for text in docs["text"].to_pylist() if len(wanted) else ():
             words = words_of(text)
             if len(words) < width:
@@ -173,32 +183,55 @@ def _take_apart(width: int, gram: int):
     return run
 
 
-def _automaton(phrases: list[bytes], hashes: WordHashes) -> ahocorasick.Automaton | None:
-    """Over word numbers (32 bits of a word's hash; hits are checked exactly afterwards)."""
-    machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for i, phrase in enumerate(phrases):
-        machine.add_word(tuple((hashes.of(phrase.split(b" ")) >> np.uint64(32)).tolist()), i)
-    if len(machine) == 0:
-        return None
-    machine.make_automaton()
-    return machine
+class Phrases:
+    """Automaton over the numbers of the words that phrases are made of.
+
+    The library looks a symbol up among a node's children one by one, so a word
+    is two symbols from small alphabets of their own; any other word is two
+    symbols that no phrase has."""
+
+    def __init__(self, phrases: list[bytes], hashes: WordHashes):
+        split = [p.split(b" ") for p in phrases]
+        h = hashes.of([w for p in split for w in p])
+        self.known = np.unique(h)
+        self.base = int(np.ceil(np.sqrt(len(self.known) + 1))) + 1
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        if phrases:
+            symbols = self._symbols(h)
+            at = 0
+            for p in split:
+                self.machine.add_word(symbols[2 * at : 2 * (at + len(p))])
+                at += len(p)
+            self.machine.make_automaton()
+
+    def _symbols(self, h: np.ndarray) -> str:
+        i = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        i = np.where(self.known[i] == h, i, len(self.known))
+        two = np.empty((len(h), 2), "<u4")
+        two[:, 0], two[:, 1] = i // self.base + self.base + 1, i % self.base + 1
+        return two.tobytes().decode("utf-32-le")
+
+    def starts(self, h: np.ndarray, gram: int) -> list[int]:
+        """Word numbers at which a phrase begins."""
+        if not len(self.known) or not len(h):
+            return []
+        return [(end - 1) // 2 - gram + 1 for end, _ in self.machine.iter(self._symbols(h))]
 
 
 def _locate(width: int, gram: int, carry: list[str]):
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
-        hashes = WordHashes()
+        hashes = word_hashes()
         part = _values(known["part"]).astype(bool)
         keys = _pair(_values(known["phrase"]), _values(known["value"]))
         whole, windows = np.unique(keys[~part]), np.unique(keys[part])
-        machine = _automaton(known["words"].unique().to_pylist(), hashes)
+        phrases = Phrases(known["words"].unique().to_pylist(), hashes)
         out = []
         for text in docs["text"].to_pylist():
             words = words_of(text)
             n, spans = len(words), []
-            if machine is not None and n >= width:
+            if n >= width:
                 h = hashes.of(words)
-                hits = [end - gram + 1 for end, _ in machine.iter(tuple((h >> np.uint64(32)).tolist()))]
-                if hits:
+                if hits := phrases.starts(h, gram):
                     located = np.zeros(n, bool)
                     located[hits] = True
                     w = Windows(h, width, gram)
