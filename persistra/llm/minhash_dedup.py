@@ -13,9 +13,9 @@ share a listed one (prefix filtering), and values that very many documents
 hold are listed only for documents made of little else.
 
 Skew.  Equal sets are collapsed first (grouped minimum, combined before the
-shuffle).  A list is never expanded into its pairs.  In a few rounds each
-member is compared with the likeliest of some leaders drawn from its lists,
-and what is linked becomes one component.  Then only lists whose members still
+shuffle).  A list is never expanded into its pairs.  Each member is compared
+with the likeliest of some leaders drawn from its lists, and what is linked
+becomes one component.  Then only lists whose members still
 lie in several components are compared, members outside the list's largest
 component against all, each pair in the first list that both are in; long lists
 block against block, with full sets, inside tasks that emit no more links than
@@ -46,8 +46,7 @@ WIDTH = 5
 SHORT_LIST = 48
 BLOCK = 256
 COLUMNS = 1 << 14
-#: rounds in which members are compared with leaders of each list, and leaders drawn a round besides the most central
-ROUNDS = 2
+#: leaders drawn from each list besides the most central member
 LEADERS = 2
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -198,15 +197,6 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _mixed(lists: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """(v, node, comp) of the lists whose members lie in several components."""
-    if comps is None:
-        return lists.withColumn("comp", F.col("node"))
-    placed = lists.join(comps.withColumnRenamed("label", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = placed.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("v")
-    return placed.join(mixed, "v").select("v", "node", "central", "comp")
-
-
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
@@ -249,42 +239,30 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> D
         side = lambda c: full.select(F.col("node").alias(c), F.col("full").alias(f"f{c}"))
         return pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "fa", "fb").mapInArrow(_confirm(percent), "a long, b long")
 
-    comps, edges = None, None
-    for r in range(ROUNDS):
-        open_lists = _mixed(lists, comps)
-        if r:
-            open_lists = scratch.keep(open_lists, f"open_{r}")
-        # a copy with few edits holds the most of its group's values and is near most of its members
-        picks = [F.max_by(F.struct("node", "comp"), F.struct("central", -F.col("node")))]
-        picks += [F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(LEADERS * r + i))) for i in range(LEADERS)]
-        leaders = open_lists.groupBy("v").agg(F.array_distinct(F.array(*picks)).alias("l")).select("v", F.explode("l").alias("l"))
-        stars = (
-            open_lists.join(leaders, "v")
-            .filter("comp <> l.comp")
-            .select(F.col("l.node").alias("a"), F.col("node").alias("b"))
-            .distinct()
-        )
-        likely = _estimated(stars, nodes, percent).groupBy("b").agg(F.sort_array(F.collect_list(F.struct("m", "a")), asc=False).alias("ms"))
-        best = likely.select("b", F.explode(F.expr("slice(ms.a, 1, 2)")).alias("a"))
-        new = scratch.keep(confirmed(best), f"edges_{r}")
-        edges = edges.unionByName(new) if edges else new
-        found = new.count()
-        if found:
-            comps = scratch.keep(connected_components(edges, scratch), f"comps_{r}")
-        if r:
-            scratch.drop(f"open_{r}")
-        if found * 50 < edges.count():
-            break
+    # a copy with few edits holds the most of its group's values and is near most of its members
+    picks = [F.max_by("node", F.struct("central", -F.col("node")))]
+    picks += [F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(LEADERS)]
+    leaders = lists.groupBy("v").agg(F.array_distinct(F.array(*picks)).alias("l")).select("v", F.explode("l").alias("a"))
+    stars = lists.join(leaders, "v").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+    likely = _estimated(stars, nodes, percent).groupBy("b").agg(F.sort_array(F.collect_list(F.struct("m", "a")), asc=False).alias("ms"))
+    best = likely.select("b", F.explode(F.expr("slice(ms.a, 1, 2)")).alias("a"))
+    edges = scratch.keep(confirmed(best), "stars")
+    comps = scratch.keep(connected_components(edges, scratch), "comps")
 
     # what still lies in several components of one list: members outside the list's largest against all
-    open_lists = scratch.keep(_mixed(lists, comps), "open")
+    placed = (
+        lists.select("v", "node")
+        .join(comps.withColumnRenamed("label", "comp"), "node", "left")
+        .withColumn("comp", F.coalesce("comp", "node"))
+    )
     largest = (
-        open_lists.groupBy("v", "comp")
+        placed.groupBy("v", "comp")
         .agg(F.count("*").alias("c"))
         .groupBy("v")
-        .agg(F.sum("c").alias("c"), F.max_by("comp", F.struct("c", "comp")).alias("main"))
+        .agg(F.sum("c").alias("c"), F.count("*").alias("parts"), F.max_by("comp", F.struct("c", "comp")).alias("main"))
+        .filter("parts > 1")
     )
-    rest = scratch.keep(open_lists.join(largest, "v"), "rest")
+    rest = scratch.keep(placed.join(largest, "v").drop("parts"), "rest")
     short = rest.filter(f"c <= {SHORT_LIST}")
     across = (
         short.filter("comp <> main")
@@ -308,8 +286,6 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> D
     more = scratch.keep(confirmed(close).unionByName(long_links), "edges")
     if more.limit(1).count():
         comps = connected_components(edges.unionByName(more), scratch)
-    elif comps is None:
-        comps = nodes.select("node", F.col("node").alias("label")).limit(0)
     groups = scratch.keep(
         nodes.select("node", "sig", "rep")
         .join(comps, "node", "left")
@@ -317,7 +293,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> D
         .select("sig", "rep", "label"),
         "groups",
     )
-    scratch.drop("prefix", "full", "open", "rest", "close", "edges", "nodes", *(f"{x}_{r}" for x in ("edges", "comps") for r in range(ROUNDS)))
+    scratch.drop("prefix", "full", "stars", "comps", "rest", "close", "edges", "nodes")
     least = groups.groupBy("label").agg(F.min("rep").alias("component_id"))
     return (
         rows.select("doc_id", "n_shingles", "sig")
