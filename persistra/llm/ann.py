@@ -6,20 +6,27 @@ of 16 centres each (four bits).  Codes and centres minimise the anisotropic
 loss: the error parallel to the vector weighs ``eta`` times the error across
 it, because it moves inner products most.
 
-A query reads its nearest lists.  Nearness is Euclidean, so the scan scores
+A query reads its ``PROBES`` nearest lists first, which bounds its k-th
+distance; then every other list that can hold a row within that bound, by the
+distance to the list's centre and the least and greatest distance of the
+list's rows from it.  Nearness is Euclidean, so the scan scores
 2 <q, x~> - |x~|^2, an inner product with the quantised vector and its squared
 norm: every byte of a code is two four-bit codes, looked up in one table of
-their summed products.  In each block the best candidates, and all that tie
-with the last of them, are reranked with exact distances in double precision;
-the best of all blocks are the result.
+their summed products.  In each block the best candidates are reranked with
+exact distances in double precision, and after them all rows whose quantised
+distance, less their own quantisation error, is within the k-th distance so
+far; the best of all blocks are the result.  So no neighbour is left out: the
+codes and lists only save work, and how much depends on the vectors (where
+they lie evenly in many dimensions, every list is read).
 
 The model (centres, scales, code centres) is fitted on a sample of at most
 ``TRAIN_VALUES`` numbers, chosen by a hash of vec_id; every row is indexed.
 
-Scale and skew.  A list is cut into blocks of about ``BLOCK_ROWS`` rows and its
-queries into groups of about ``BLOCK_QUERIES``, so a list that holds a third of
-all rows is many tasks.  A block returns k rows for each query.  List sizes
-(as many numbers as there are lists) are all that reaches the driver.
+Scale and skew.  Small lists are put together and large ones cut, into blocks of
+about ``BLOCK_ROWS`` rows, and the queries of each into groups of about
+``BLOCK_QUERIES``, so a list that holds a third of all rows is many tasks.  A
+block returns k rows for each query at most.  List sizes and radii (a few
+numbers for each list) are all that reaches the driver.
 
 Defined cases.  Vectors that are null, empty, zero, hold a null or a non-finite
 number, or are not of the commonest dimension (the smaller on a tie) take no
@@ -43,8 +50,9 @@ from persistra.llm.base import Scratch
 TRAIN_VALUES = 1 << 22
 TRAIN_ROWS = 1 << 16
 ROWS_PER_LIST, MAX_LISTS = 128, 2048
+#: lists of the first round; the second reads whatever the bound leaves
 PROBES = 96
-#: rows of each block that are reranked, besides ties
+#: rows of each block that are reranked first
 CANDIDATES = 128
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 2048
 #: inner products above this cosine are the ones to keep exact; it sets eta
@@ -166,9 +174,15 @@ class Quantiser:
         back = self.centre[near].astype(np.float64) + parts * self.scale[near, None].astype(np.float64)
         return near, (code[:, 0::2] | code[:, 1::2] << 4).astype(np.uint8), (back**2).sum(1)
 
-    def tables(self, query: np.ndarray, lst: int) -> np.ndarray:
-        """Products of the query with both four-bit parts of every byte value: bytes x 256."""
-        dots = (self.codes * query.reshape(-1, 1, 2)).sum(-1) * self.scale[lst]
+    def decode(self, near: np.ndarray, packed: np.ndarray) -> np.ndarray:
+        """What lists and packed codes (rows x bytes) stand for."""
+        code = np.stack([packed & 15, packed >> 4], 2).reshape(len(packed), -1)
+        parts = self.codes[np.arange(len(self.codes)), code].reshape(len(packed), -1)
+        return self.centre[near].astype(np.float64) + parts * self.scale[near, None].astype(np.float64)
+
+    def tables(self, query: np.ndarray) -> np.ndarray:
+        """Products of the query with both four-bit parts of every byte value, for a list of scale 1: bytes x 256."""
+        dots = (self.codes * query.astype(np.float64).reshape(-1, 1, 2)).sum(-1)
         return (dots[1::2, :, None] + dots[0::2, None, :]).reshape(-1, 256)
 
 
@@ -185,9 +199,10 @@ def _index(model: Quantiser, dim: int):
                 continue
             x = _padded(batch.column("embedding"), dim)
             near, code, norm = model.encode(x)
+            far = np.sqrt(((x.astype(np.float64) - model.centre[near]) ** 2).sum(1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id"), pa.array(near.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(norm), batch.column("embedding")],
-                ["vec_id", "lst", "code", "norm", "embedding"],
+                [batch.column("vec_id"), pa.array(near.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(norm), pa.array(far), batch.column("embedding")],
+                ["vec_id", "lst", "code", "norm", "far", "embedding"],
             )
 
     return run
@@ -211,6 +226,66 @@ def _probes(model: Quantiser, dim: int, sizes: np.ndarray, probes: int, least: i
     return run
 
 
+def _bundles(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bundle of each list, and the number of blocks of each bundle: small lists share one, a large list has its own."""
+    bundle, blocks, room = np.zeros(len(sizes), np.int64), [], 0
+    for lst, n in enumerate(sizes):
+        if n > room or not blocks:
+            blocks.append(max(1, int(-(-n // BLOCK_ROWS))))
+            room = BLOCK_ROWS if n <= BLOCK_ROWS else 0
+        bundle[lst] = len(blocks) - 1
+        room = max(0, room - n)
+    return bundle, np.array(blocks, np.int64)
+
+
+def _rest(model: Quantiser, dim: int, sizes: np.ndarray, inner: np.ndarray, outer: np.ndarray):
+    """The lists not read yet that can hold a row within each query's limit."""
+
+    def run(batches):
+        centre = model.centre.astype(np.float64)
+        norm = (centre**2).sum(1)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _padded(batch.column("q"), dim).astype(np.float64)
+            own = (x**2).sum(1)
+            d = np.sqrt(np.maximum(own[:, None] + norm - 2 * x @ centre.T, 0))
+            slack = 1e-6 * (np.sqrt(own) + np.sqrt(norm.max()) + outer.max())
+            limit = batch.column("limit").to_numpy()
+            open_ = (np.maximum(d - outer, inner - d) <= (limit + slack)[:, None]) & (sizes > 0)
+            for row, done in zip(open_, batch.column("lists").to_pylist()):
+                row[done] = False
+            lists = [np.flatnonzero(row).astype(np.int32) for row in open_]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("query_id"), batch.column("q"), pa.array(lists, pa.list_(pa.int32())), batch.column("limit")], ["query_id", "q", "lists", "limit"]
+            )
+
+    return run
+
+
+def _deal(bundle: np.ndarray):
+    """One row for each query and bundle, with the lists to read there."""
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                rows, to, lists = [], [], []
+                for i, wanted in enumerate(batch.column("lists").to_pylist()):
+                    wanted = np.array(wanted, np.int32)
+                    for b in np.unique(bundle[wanted]):
+                        rows.append(i)
+                        to.append(b)
+                        lists.append(wanted[bundle[wanted] == b])
+                part = batch.take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("query_id"), part.column("q"), pa.array(lists, pa.list_(pa.int32())), part.column("limit"), pa.array(to, pa.int32())],
+                    ["query_id", "q", "lists", "limit", "bundle"],
+                )
+
+    return run
+
+
 def _scan(model: Quantiser, dim: int, keep: int, k: int):
     def run(block: pa.Table, queries: pa.Table) -> pa.Table:
         found = []
@@ -219,23 +294,34 @@ def _scan(model: Quantiser, dim: int, keep: int, k: int):
             ids = block["vec_id"].to_numpy()
             norm = block["norm"].to_numpy()
             rows = _padded(block["embedding"].combine_chunks(), dim).astype(np.float64)
-            code = np.ascontiguousarray(np.frombuffer(b"".join(block["code"].to_pylist()), np.uint8).reshape(len(ids), -1).T)
-            lst = block["lst"][0].as_py()
-            x = _padded(queries["q"].combine_chunks(), dim)
-            for qid, q in zip(queries["query_id"].to_pylist(), x):
-                table = model.tables(q, lst)
-                dot = np.full(len(ids), float(q.astype(np.float64) @ model.centre[lst]))
+            own = (rows**2).sum(1)
+            code = np.frombuffer(b"".join(block["code"].to_pylist()), np.uint8).reshape(len(ids), -1)
+            lst = block["lst"].to_numpy()
+            error = np.sqrt(((rows - model.decode(lst, code)) ** 2).sum(1))
+            code = np.ascontiguousarray(code.T)
+            held, which = np.unique(lst, return_inverse=True)
+            centre, scale = model.centre[held].astype(np.float64), model.scale[lst].astype(np.float64)
+            x = _padded(queries["q"].combine_chunks(), dim).astype(np.float64)
+            for qid, q, lists, limit in zip(queries["query_id"].to_pylist(), x, queries["lists"].to_pylist(), queries["limit"].to_pylist()):
+                at = np.flatnonzero(np.isin(held, lists)[which] & (ids != qid))
+                table = model.tables(q)
+                dot = np.zeros(len(at))
                 for b, c in enumerate(code):
-                    dot += table[b][c]
-                near = norm - 2 * dot
-                near[ids == qid] = np.inf
-                best = np.flatnonzero(np.isfinite(near))
-                if len(best) > keep:
-                    edge = np.partition(near, keep - 1)[keep - 1]
-                    # rows of one code differ by rounding at most
-                    best = np.flatnonzero(near <= edge + 1e-9 * (abs(edge) + 1))
-                score = np.sqrt(((rows[best] - q.astype(np.float64)) ** 2).sum(1))
+                    dot += table[b][c[at]]
+                near = norm[at] - 2 * ((centre @ q)[which[at]] + scale[at] * dot) + q @ q
+                slack = 1e-9 * (q @ q + own.max() + norm.max())
+                first = np.ones(len(at), bool)
+                if len(at) > keep:
+                    first = near <= np.partition(near, keep - 1)[keep - 1]
+                best = at[first]
+                score = np.sqrt(((rows[best] - q) ** 2).sum(1))
+                bound = min(limit, np.partition(score, k - 1)[k - 1]) if len(score) >= k else limit
+                # a row is no nearer than its quantised distance less its error
+                more = at[~first & (near <= (bound + error[at]) ** 2 + slack)]
+                more = more[own[more] - 2 * (rows[more] @ q) + q @ q <= bound**2 + slack]
+                best, score = np.concatenate([best, more]), np.concatenate([score, np.sqrt(((rows[more] - q) ** 2).sum(1))])
                 order = np.lexsort((ids[best], score))[:k]
+                order = order[score[order] <= limit]
                 found.append((np.full(len(order), qid), ids[best][order], score[order]))
         cols = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
@@ -271,25 +357,37 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, probes: int = PROB
         sample = kept.orderBy(drawn, "vec_id").limit(want).toArrow()
     x = _padded(sample["embedding"].combine_chunks(), dim)
     model = Quantiser.fit(x, max(1, min(MAX_LISTS, n // ROWS_PER_LIST, len(x) // 32)))
-    index = scratch.keep(kept.mapInArrow(_index(model, dim), "vec_id long, lst int, code binary, norm double, embedding array<float>"), "index")
-    sizes = np.zeros(len(model.centre), np.int64)
-    for r in index.groupBy("lst").count().collect():
-        sizes[r["lst"]] = r["count"]
+    index = scratch.keep(kept.mapInArrow(_index(model, dim), "vec_id long, lst int, code binary, norm double, far double, embedding array<float>"), "index")
+    sizes, inner, outer = np.zeros(len(model.centre), np.int64), np.zeros(len(model.centre)), np.zeros(len(model.centre))
+    for r in index.groupBy("lst").agg(F.count("*").alias("n"), F.min("far").alias("inner"), F.max("far").alias("outer")).collect():
+        sizes[r["lst"]], inner[r["lst"]], outer[r["lst"]] = r["n"], r["inner"], r["outer"]
+    bundle, blocks = _bundles(sizes)
     queries = kept.filter(F.col("vec_id") % every == 0)
-    asked = scratch.keep(
-        queries.mapInArrow(_probes(model, dim, sizes, probes, 4 * k), "query_id long, q array<float>, lists array<int>").select(
-            "query_id", "q", F.explode("lists").alias("lst")
-        ),
-        "asked",
-    )
-    asks = np.zeros(len(sizes), np.int64)
-    for r in asked.groupBy("lst").count().collect():
-        asks[r["lst"]] = r["count"]
-    blocks = F.element_at(F.array(*(F.lit(int(max(1, -(-s // BLOCK_ROWS)))) for s in sizes)), F.col("lst") + 1)
-    groups = F.element_at(F.array(*(F.lit(int(max(1, -(-s // BLOCK_QUERIES)))) for s in asks)), F.col("lst") + 1)
-    every_group, every_block = F.sequence(F.lit(0), groups - 1), F.sequence(F.lit(0), blocks - 1)
-    left = index.withColumn("blk", F.pmod(F.xxhash64("vec_id"), blocks).cast("int")).withColumn("grp", F.explode(every_group))
-    right = asked.withColumn("grp", F.pmod(F.xxhash64("query_id"), groups).cast("int")).withColumn("blk", F.explode(every_block))
-    found = left.groupBy("lst", "blk", "grp").cogroup(right.groupBy("lst", "blk", "grp")).applyInArrow(_scan(model, dim, candidates, k), "query_id long, vec_id long, score double")
-    best = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))).filter(F.col("rank") <= k)
-    return best.select("query_id", "rank", "vec_id", "score")
+    asked = scratch.keep(queries.mapInArrow(_probes(model, dim, sizes, probes, 4 * k), "query_id long, q array<float>, lists array<int>"), "asked")
+
+    def answer(wanted: DataFrame, name: str) -> DataFrame:
+        """Up to k nearest rows of the wanted lists within the limit, of each query and block."""
+        dealt = scratch.keep(wanted.mapInArrow(_deal(bundle), "query_id long, q array<float>, lists array<int>, limit double, bundle int"), f"{name}_dealt")
+        asks = np.zeros(len(blocks), np.int64)
+        for r in dealt.groupBy("bundle").count().collect():
+            asks[r["bundle"]] = r["count"]
+        place = F.element_at(F.array(*(F.lit(int(b)) for b in bundle)), F.col("lst") + 1)
+        n_blocks = F.element_at(F.array(*(F.lit(int(b)) for b in blocks)), F.col("bundle") + 1)
+        n_groups = F.element_at(F.array(*(F.lit(int(-(-a // BLOCK_QUERIES))) for a in asks)), F.col("bundle") + 1)
+        left = index.withColumn("bundle", place).filter(n_groups > 0)
+        left = left.withColumn("blk", F.pmod(F.xxhash64("vec_id"), n_blocks).cast("int")).withColumn("grp", F.explode(F.sequence(F.lit(0), n_groups - 1)))
+        right = dealt.withColumn("grp", F.pmod(F.xxhash64("query_id"), n_groups).cast("int")).withColumn("blk", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+        keys = ("bundle", "blk", "grp")
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_scan(model, dim, candidates, k), "query_id long, vec_id long, score double")
+
+    def best(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))).filter(F.col("rank") <= k)
+
+    found = answer(asked.withColumn("limit", F.lit(float("inf"))), "first")
+    if probes < int((sizes > 0).sum()):
+        found = scratch.keep(best(found).drop("rank"), "first")
+        limits = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("score")).otherwise(F.lit(float("inf"))).alias("limit"))
+        rest = asked.join(limits, "query_id", "left").select("query_id", "q", "lists", F.coalesce("limit", F.lit(float("inf"))).alias("limit"))
+        rest = rest.mapInArrow(_rest(model, dim, sizes, inner, outer), "query_id long, q array<float>, lists array<int>, limit double")
+        found = found.unionByName(answer(rest, "rest"))
+    return best(found).select("query_id", "rank", "vec_id", "score")

@@ -147,6 +147,18 @@ def test_search_recall_and_scores(spark):
         hit, total = hit + len({v for _, v, _ in mine} & set(ids)), total + 10
     assert hit >= 0.9 * total
 
+def test_search_misses_no_neighbour_in_many_lists(spark):
+    """Vectors that lie evenly: neighbours are in all of the 156 lists, more than the first round reads."""
+    import pyarrow as pa
+
+    x = np.random.default_rng(3).normal(size=(20000, 64))
+    x = (x / np.sqrt((x**2).sum(1, keepdims=True))).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float32()))}))
+    got = {}
+    for r in ann.search(df, every=200).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: ids for q, ids, _ in exact(dict(enumerate(x)), 10, 200)}
+
 
 def test_search_odd_rows(spark):
     v = [1.0, 2.0, 3.0]
