@@ -7,9 +7,11 @@ with carry, an AND with that character's mask, and an OR of the places that a
 ``*`` lets stand (Shift-And).  All rules are simulated at once, for many URLs
 side by side.
 
-The canonical URL of ``scheme://host/path?query#fragment`` is ``.host/path``:
-the host's A-Z lower-cased, with a dot before it, so that ``*.com/en/*`` holds
-for a host and all its subdomains.  Of the rules that fit, the longest wins,
+The canonical URL of ``scheme://host/path?query#fragment`` is ``.host#/path``:
+the host's A-Z lower-cased, with a dot before it, so that ``*.com#/en/*`` holds
+for a host and all its subdomains.  Neither host nor path can hold a ``#``, so
+what a glob has before its ``#`` is matched within the host alone, whatever
+addresses the path contains.  Of the rules that fit, the longest wins,
 then a block over an allow, then the first; a URL that no rule fits gets the
 default verdict.
 
@@ -30,7 +32,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def host_rule(host: str, path: str, verdict: str) -> tuple[str, str, str]:
     """(name, glob, verdict) of a rule for a host, its subdomains and paths that start with ``path``."""
-    return f"{host}{path}", f"*.{host}{path}*", verdict
+    return f"{host}{path}", f"*.{host}#{path}*", verdict
 
 
 # fixed values: the rules of the registered query
@@ -117,7 +119,7 @@ def _judge(rules: list[tuple[str, str, str]], default: str):
 
     def run(batches):
         for batch in batches:
-            fits = machine.fits([f".{h}{p}" if h or p else "" for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist())])
+            fits = machine.fits([f".{h}#{p}" if h or p else "" for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist())])
             best = np.where(fits.any(1), fits.argmax(1), -1).tolist() if len(rules) else [-1] * batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([names[i] if i >= 0 else None for i in best], pa.string()), pa.array([verdicts[i] if i >= 0 else default for i in best], pa.string())],

@@ -177,5 +177,15 @@ def test_url_rules(spark, url, host, path, rule, verdict):
     assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict)
 
 
+def test_rules_look_for_hosts_in_the_host_alone(spark):
+    inside = ["www.foo.com/en/x", "example.com/en/7", "a.net/de/", "b.example.net/de/8", "c.org/es/"]
+    paths = [f"/{lead}{u}" for lead in ("web/2020/http://", "to/", ".", "a.") for u in inside]
+    urls = [f"https://web.archive.xyz{p}" for p in paths] + ["https://web.archive.org/web/2020/http://www.foo.com/en/x", "http://foo.com/en/http://x.org/es/", "http://a.net.xyz/de/", "http:///.com/en/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = [(r.path, r.rule, r.verdict) for r in url_filter.judge(df).orderBy("page_id").collect()]
+    assert got[: len(paths)] == [(p, None, "allow") for p in paths]
+    assert [g[1:] for g in got[len(paths) :]] == [(None, "allow"), ("com/en/", "block"), (None, "allow"), (None, "allow")]
+
+
 def test_no_urls(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).collect() == []
