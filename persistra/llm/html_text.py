@@ -7,7 +7,9 @@ the two ratios are smoothed along the page, fused (multiplied), and paths at
 or over a share of the best one are content paths.  The content node is the
 innermost article or main element, or else the innermost element, that holds
 nearly all text of content paths; its blocks, headings and short paragraphs
-included, are the text.
+included, are the text, and with them the blocks outside it on content paths
+that reach the share by their own ratios, not by their neighbours', and the
+headings on content paths right before such a block.
 
 What a page says it is not is no content to begin with: scripts, styles,
 navigation, headers and footers of the page, sidebars, forms, hidden elements,
@@ -43,6 +45,7 @@ BLOCKS = {
     "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "legend", "li", "main", "menu", "nav",
     "ol", "p", "pre", "search", "section", "summary", "table", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 NO_CONTENT = {"head", "nav", "menu", "footer", "aside", "form", "dialog", "button", "search", "fieldset", "label", "option", "input", *RAW}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"table", "ul", "ol", "dl", "td", "th", "article", "section", "main", "body", "html", "blockquote", "aside", "nav", "footer", "header", "form", "div"}
@@ -188,7 +191,7 @@ def _smooth(x: list[float]) -> list[float]:
 
 
 def content(found: list[tuple[Element, str]]) -> list[str]:
-    """Texts of the content node's blocks."""
+    """Texts of the content node's blocks and of what else is content, in page order."""
     if not found:
         return []
     length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
@@ -214,9 +217,16 @@ def content(found: list[tuple[Element, str]]) -> list[str]:
     named = [x for x in weight if x.tag in ("article", "main") or x.attrs.get("role", "").lower() in ("main", "article")]
     whole = [x for x in named if weight[x] >= HELD * total]
     # an article says itself what belongs to it; several articles belong to what holds them
-    pool = whole or [x for x in named if 2 * weight[x] >= total] or [x for x in weight if weight[x] >= HELD * total and x.tag not in ("p", "li")] or list(weight)
+    pool = whole or [x for x in weight if weight[x] >= HELD * total and x.tag not in ("p", "li")] or list(weight)
     node = max(pool, key=lambda x: (depth[x], weight[x]))
-    return [text for e, text in found if any(x is node for x in e.above())]
+    # smoothing lifts a short block beside the content as well; outside the node a path must do without
+    own = {path for path in chosen if length[path] / count[path] * (1 + marks[path] / count[path]) >= THRESHOLD * best}
+    texts, follows = [], False
+    for e, text in reversed(found):
+        follows = e.path in own or any(x is node for x in e.above()) or (follows and e.tag in HEADINGS and e.path in chosen)
+        if follows:
+            texts.append(text)
+    return texts[::-1]
 
 
 def main_text(page: str | None) -> str:

@@ -126,6 +126,17 @@ def test_page_without_article():
     assert html_text.main_text(page) == "\n\n".join(["Title"] + ["Some words, and more. Then others, too."] * 3)
 
 
+def test_content_in_several_places():
+    para = "Some words, and more. Then others, too."
+    three, two, lead, link = f"<p>{para}</p>" * 3, f"<p>{para}</p>" * 2, f"<p class=lead>{para}</p>", "<div class=x><p>link</p></div>"
+    page = f"<body><nav>a, b.</nav><article><h2>A</h2>{three}</article><article><h2>B</h2>{two}<ul><li>i</ul></article><footer>End</footer></body>"
+    assert html_text.main_text(page).split("\n\n") == ["A", *[para] * 3, "B", *[para] * 2, "i"]
+    page = f"<body>{link}<h1>Title</h1>{lead}<div class=main-text><h2>A</h2>{three * 4}</div>{link}</body>"
+    assert html_text.main_text(page).split("\n\n") == ["Title", para, "A", *[para] * 12]
+    page = f"<body>{link}{lead}<article><h2>A</h2>{three * 4}</article>{link}</body>"
+    assert html_text.main_text(page).split("\n\n") == [para, "A", *[para] * 12]
+
+
 @pytest.mark.parametrize("page, text", [(None, ""), ("", ""), ("plain", "plain"), ("<p>x", "x"), ("<script>a", ""), ("a<b>c</i>d", "acd"), ("<p>a<!-- x > y -->b", "ab"), ("<a title='>'>t</a>", "t"), ("1 < 2 & 3", "1 < 2 & 3")])
 def test_small_pages(page, text):
     assert html_text.main_text(page) == text
