@@ -60,6 +60,7 @@ NOT_CONTENT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "se
 _TOKEN = re.compile(
     r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S
 )
+_RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¡¿]")
 _SPACE = re.compile(r"[ \t\n\r\f\v\xa0]+")
@@ -108,7 +109,6 @@ def blocks_of(page: str) -> list[tuple[Element, str]]:
     root = top = Element("html", None, {}, False)
     found: list[tuple[Element, str]] = []
     held: list[str] = []
-    low = page.lower() if len(page) == len(page.lower()) else page
 
     def flush() -> None:
         if held:
@@ -149,10 +149,11 @@ def blocks_of(page: str) -> list[tuple[Element, str]]:
             elif tag == "hr":
                 flush()
             continue
+        if tag in ("svg", "math") and raw.endswith("/"):
+            continue
         if tag in RAW:
-            stop = low.find(f"</{tag}", at)
-            stop = len(page) if stop < 0 else stop
-            stop = page.find(">", stop)
+            stop = _RAW_END[tag].search(page, at)
+            stop = page.find(">", stop.start() if stop else len(page))
             at = len(page) if stop < 0 else stop + 1
             continue
         if raw.endswith("/") and tag not in BLOCKS:

@@ -126,6 +126,20 @@ def test_page_without_article():
     assert html_text.main_text(page) == "\n\n".join(["Title"] + ["Some words, and more. Then others, too."] * 3)
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<p>a<svg width='1'/>b</p><p>c<svg><text>x</text></svg>d", "ab\n\ncd"),
+        ("<p>a<MATH />b", "ab"),
+        ("<p>a<script src='x'/>b</script>c", "ac"),
+        ("<p>\u0130a<SCRIPT>x</SCRIPT>b<style>y</STYLE>c", "\u0130abc"),
+        ("<p>a<script>x</\u017fcript>y</Script>b", "ab"),
+    ],
+)
+def test_raw_elements_end_where_they_end(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_content_in_several_places():
     para = "Some words, and more. Then others, too."
     three, two, lead, link = f"<p>{para}</p>" * 3, f"<p>{para}</p>" * 2, f"<p class=lead>{para}</p>", "<div class=x><p>link</p></div>"
