@@ -26,9 +26,18 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id stays."""
-    gone = minhash_dedup.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of near-duplicates one row with the least id stays: the least digest, and of equal texts the least row."""
+    docs = docs.select(*COLUMNS, F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    found = minhash_dedup.near_duplicates(docs, carry=["digest"]).filter("doc_id is not null and label is not null")
+    key = ["doc_id", "digest"]
+    keys = Scratch(spark, "one").keep(found.groupBy(*key, "label", "kept").agg(F.count("*").alias("n")), "keys")
+    stay = keys.filter("kept")
+    other = stay.join(stay.groupBy("label").agg(F.min("digest").alias("least")), "label").filter("digest <> least")
+    gone = keys.filter("not kept").select(*key).unionByName(other.select(*key))
+    again = stay.filter("n > 1").select(*key).join(other.select(*key), key, "left_anti")
+    single = docs.join(gone.unionByName(again), key, "left_anti").select(*COLUMNS)
+    row = F.min(F.struct(*COLUMNS)).alias("row")
+    return single.unionByName(docs.join(again, key, "left_semi").groupBy(*key).agg(row).select("row.*"))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

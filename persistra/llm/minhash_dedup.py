@@ -66,7 +66,7 @@ def shingle_set(text: bytes | None, hashes: WordHashes, width: int = WIDTH) -> n
     return np.unique(mix64(s) >> np.uint64(1)).view(np.int64)
 
 
-def _sketches(width: int, k: int):
+def _sketches(width: int, k: int, carry: list[str]):
     def run(batches):
         hashes = word_hashes()
         for batch in batches:
@@ -77,8 +77,8 @@ def _sketches(width: int, k: int):
                 sig.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sketch.append(s[:k])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "sig", "sketch"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(sketch, pa.list_(pa.int64())), *map(batch.column, carry)],
+                ["doc_id", "n_shingles", "sig", "sketch", *carry],
             )
 
     return run
@@ -197,14 +197,20 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH, carry: list[str] | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+
+    With ``carry`` also these columns and the component's label (null where a
+    row has no words): a doc_id with several texts can lie in several components.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     src = docs.select("doc_id", "text")
+    extra = [*carry, "label"] if carry is not None else []
     ids = docs.schema["doc_id"].dataType.simpleString()
+    carried = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry or [])
     rows = scratch.keep(
-        src.mapInArrow(_sketches(width, K), f"doc_id {ids}, n_shingles long, sig binary, sketch array<long>"), "rows"
+        docs.select("doc_id", "text", *(carry or [])).mapInArrow(_sketches(width, K, carry or []), f"doc_id {ids}, n_shingles long, sig binary, sketch array<long>{carried}"), "rows"
     )
     nodes = scratch.keep(
         rows.filter("n_shingles > 0 and doc_id is not null")
@@ -296,8 +302,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> D
     scratch.drop("prefix", "full", "stars", "comps", "rest", "close", "edges", "nodes")
     least = groups.groupBy("label").agg(F.min("rep").alias("component_id"))
     return (
-        rows.select("doc_id", "n_shingles", "sig")
-        .join(groups.join(least, "label").select("sig", "component_id"), "sig", "left")
+        rows.select("doc_id", "n_shingles", "sig", *(carry or []))
+        .join(groups.join(least, "label").select("sig", "component_id", *extra[len(carry or []) :]), "sig", "left")
         .withColumn("component_id", F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("component_id")))
-        .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+        .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), *extra)
     )

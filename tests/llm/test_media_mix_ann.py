@@ -185,6 +185,21 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").collect() == []
 
 
+def test_near_dedup_stage_judges_rows(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    a, b, c, d, e = (" ".join("w%d" % rng.randint(0, 10**6) for _ in range(60)) for _ in range(5))
+    row = lambda i, t, source="s": (i, t, "en", source, len(t))
+    rows = [row(1, a), row(5, b), row(5, a + " end"), row(7, c), row(7, c), row(7, c, "r"), row(8, d), row(8, d + " end"), row(9, d), row(3, e), row(3, b), row(None, a), row(None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id or 0, r.text, r.source) for r in corpus_pipeline.one_of_each_group(spark, df, "").collect()))
+    eight = min(d, d + " end", key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    assert got == sorted([(0, a, "s")] * 2 + [(1, a, "s"), (3, b, "s"), (3, e, "s"), (7, c, "r"), (8, eight, "s")])
+    rows = [row(1, a), row(5, b), row(5, a + " end")]
+    assert sorted(r.text for r in corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(rows, df.schema), "").collect()) == sorted([a, b])
+
+
 def test_pipeline_stages_match_brute_force(spark, tmp_path):
     """Stage by stage on a small corpus: what each keeps, cuts and repeats."""
     import corpus_pipeline
