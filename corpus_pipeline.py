@@ -19,8 +19,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be told (no letters) go; lang becomes the prediction."""
+    """Documents without letters go; lang becomes the prediction, or stays where there was no row to learn from."""
     model = language_id.train(docs)
+    if not model.langs:
+        return language_id.lettered(docs, *COLUMNS)
     found = language_id.identify(docs, model, *COLUMNS).filter("lang_pred <> 'und'")
     return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 

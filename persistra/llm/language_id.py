@@ -186,6 +186,17 @@ def _predict(model: Model):
     return run
 
 
+def _with_letter(batches):
+    for batch in batches:
+        yield batch.filter(pa.array([t is not None and _LETTER.search(t) is not None for t in batch.column("text").to_pylist()], pa.bool_()))
+
+
+def lettered(docs: DataFrame, *columns: str) -> DataFrame:
+    """The named columns, text among them, of the rows whose text has a letter."""
+    src = docs.select(*columns)
+    return src.mapInArrow(_with_letter, src.schema)
+
+
 def identify(docs: DataFrame, model: Model, *columns: str) -> DataFrame:
     """The named columns and text of every row, with lang_pred and score."""
     src = docs.select(*dict.fromkeys([*columns, "text"]))

@@ -185,6 +185,18 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").collect() == []
 
 
+@pytest.mark.parametrize("langs", [[None] * 6, ["en", None, "en", "en", "en", None]])
+def test_language_stage_keeps_documents_with_nothing_to_learn(spark, langs):
+    import corpus_pipeline
+
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 == 2][:4]
+    ids = [held[0], 1000, held[1], held[2], held[3], None]
+    texts = ["some words here", "größer", None, "12 $$", "é", "no id"]
+    df = spark.createDataFrame([(i, t, l, "s", 1) for i, t, l in zip(ids, texts, langs)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {(r.doc_id, r.text, r.lang) for r in corpus_pipeline.known_language(spark, df, "").collect()}
+    assert got == {(i, t, l) for i, t, l in zip(ids, texts, langs) if t not in (None, "12 $$")}
+
+
 def test_near_dedup_stage_judges_rows(spark):
     import corpus_pipeline
 
