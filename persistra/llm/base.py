@@ -2,12 +2,12 @@
 
 Nothing here is specific to one operator.  Scratch tables go to the folder the
 cluster names in ``spark.checkpoint.dir``; a folder of our own is made only
-where that setting is absent (tests on one machine).
+where that setting is absent and driver and executors are one process (tests).
 """
 
 from __future__ import annotations
 
-import functools
+import itertools
 import math
 import tempfile
 import uuid
@@ -23,9 +23,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: bytes of an Arrow batch between the engine and a Python worker
+BATCH_BYTES = 4 << 20
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """The same rows; Arrow batches of the session are of ``BATCH_BYTES`` at most from here on.
+
+    Kernels hold a batch as Python objects, so this bounds a worker's memory."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(conf.get(name)).lower().rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="persistra-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -35,23 +52,35 @@ class Scratch:
     """Intermediate tables of one call, written as Parquet in the shared folder.
 
     A written table cuts lineage: a lost executor costs a re-read, not a
-    recomputation of everything before it.
+    recomputation of everything before it.  A result may still read them, so
+    they stay until the caller says ``clear`` (the pipeline does, after every
+    stage) or removes the folder.
     """
 
+    made: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/scratch-{what}-{uuid.uuid4().hex}"
+        Scratch.made.append(self)
+
+    @classmethod
+    def clear(cls, *but: Scratch) -> None:
+        """Removes the tables of all calls so far but those named."""
+        for scratch in [x for x in cls.made if x not in but]:
+            scratch.drop("")
+            cls.made.remove(scratch)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
             path.getFileSystem(conf).delete(path, True)
 
 
@@ -72,9 +101,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """word (bytes) -> 64-bit hash, remembered up to ``limit`` words at a time."""
+    """word (bytes) -> 64-bit hash, remembered up to ``limit`` words at a time; one for each task."""
 
-    def __init__(self, limit: int = 1 << 19):
+    def __init__(self, limit: int = 1 << 17):
         super().__init__()
         self.limit = limit
 
@@ -88,10 +117,13 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-@functools.lru_cache(maxsize=1)
-def word_hashes() -> WordHashes:
-    """One for each worker process, so that a word is hashed once for many tasks."""
-    return WordHashes()
+def portions(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Row ranges (end exclusive) of about ``most`` bytes, one row at least."""
+    if not len(sizes):
+        return []
+    part = (np.cumsum(sizes) - sizes) // most
+    cut = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
+    return list(zip(cut, cut[1:]))
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -106,10 +138,10 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b) long edges -> (node, label): label is the least node of its component.
 
-    Alternates large-star and small-star.  A node's neighbours are never
+    Alternates large-star and small-star until the edges stay as they are.  A node's neighbours are never
     gathered: each half is a grouped minimum (combined before the shuffle) and
     an equi-join whose hot keys the engine may split.  Nothing but one row of
     sums per round reaches the driver.
@@ -120,7 +152,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "cc_0"
     )
     state = None
-    for i in range(1, max_rounds + 1):
+    for i in itertools.count(1):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -138,6 +170,4 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError("components did not settle")
     return e.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "node")
