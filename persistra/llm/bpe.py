@@ -1,20 +1,26 @@
-"""BPE encoding and decoding of whole texts; long unsplit text by tree concatenation.
-
-Texts go to the tokenizer in batches.  A text that holds a long piece which
-the pre-tokenizer does not split (a run of thousands of letters, digits,
-symbols or blanks) is cut at its pre-token boundaries, and each long piece is
-encoded as a tree: leaves in parallel, then neighbours are joined.  A join
-re-encodes a window around the seam that grows until its first tokens equal
-the left side's and its last tokens equal the right side's.  Both sides then
-agree exactly: a sequence of tokens is the encoding of its bytes when all
-neighbouring tokens are, and every neighbouring pair of the joined sequence
-occurs in the encoding of the left part, the window or the right part.
-
-Special tokens inside a text are found first, as the tokenizer itself does;
-truncation and padding are off and nothing is added.
+"""BPE encoding and decoding of whole texts by tree concatenation.
+
+A text of more than ``leaf`` characters is halved until its parts are no
+longer than that.  All leaves of a batch are encoded, and the tokens of
+neighbouring parts are joined level by level, up to the whole text.  A join
+re-encodes a window of tokens around the seam, with as many tokens again on
+both sides each time, until its first tokens equal the left part's and its last
+tokens equal the right part's, place by place, or the window has taken a part
+in whole.  Both sides then agree exactly: a sequence of tokens is the encoding
+of its bytes when all neighbouring tokens are, and every neighbouring pair of
+the joined sequence occurs in the encoding of the left part, the window or the
+right part.  A window reaches farther than the longest special token, so one
+that a seam cuts is found whole.
+
+A leaf or window is encoded pre-token by pre-token, with the ids of short
+pre-tokens remembered, or by the library where it holds a special token or a
+character whose class could differ between Unicode versions; truncation and
+padding are off and nothing is added.
 
 Defined cases.  Null text: encoded as the empty text (no tokens, empty
-decoding).  Repeated rows give repeated results.  Extra columns are ignored.
+decoding).  Repeated rows give repeated results.  A text of any length is read
+whole; its ids must fit a worker.  An empty table gives an empty result.  Extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,14 +35,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: pieces of more characters than this are encoded as a tree
-LONG = 4096
+from persistra.llm.base import lean
+
+#: characters of a leaf
 LEAF = 2048
-#: tokens that must agree on each side of a window, and the first window's reach
-AGREE = 4
-REACH = 16
-#: characters that one call of the tokenizer gets
+#: tokens that must agree on each side of a window, and the first window's reach on each side
+AGREE = 8
+REACH = 24
+#: characters that are encoded in one go
 BATCH_CHARS = 1 << 20
+#: characters of a pre-token whose ids are remembered, and how many of them
+SHORT, KNOWN = 64, 1 << 19
 
 
 def default_vocabulary() -> str:
@@ -66,53 +75,80 @@ def _byte_alphabet() -> dict[str, int]:
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> TreeEncoder:
-    """One for each worker process, so that its pieces serve all its tasks."""
+    """One for each worker process: a vocabulary takes long to load."""
     return TreeEncoder(path)
 
 
 class _Pieces(dict):
     """pre-token -> its ids as little-endian 32-bit integers, a bounded number at a time."""
 
-    def __init__(self, tok, limit: int = 1 << 19):
+    def __init__(self, tok):
         super().__init__()
-        self.tok, self.limit = tok, limit
+        self.tok = tok
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        ids = self.tok.encode(piece, add_special_tokens=False).ids
-        self[piece] = out = np.asarray(ids, "<u4").tobytes()
+        out = np.asarray(self.tok.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(piece) <= SHORT:
+            if len(self) >= KNOWN:
+                self.clear()
+            self[piece] = out
         return out
 
 
 class TreeEncoder:
     """Encodes as the tokenizer does; see the module's text."""
 
-    def __init__(self, path: str, long: int = LONG, leaf: int = LEAF, threads: int = 2):
+    def __init__(self, path: str, leaf: int = LEAF, threads: int = 2):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.long, self.leaf, self.threads = long, leaf, threads
-        self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
-        self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        # a pre-token has at most one blank beside a run of one kind
-        self.suspect = re.compile(rf"\S{{{long},}}|\s{{{long},}}")
+        self.leaf, self.threads, self.joins = leaf, threads, 0
+        special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        # a special token that a seam cuts has no more tokens on either side than bytes
+        self.reach = max(REACH, AGREE + max((len(s.encode()) for s in special), default=0))
         self.pieces = _Pieces(self.tok)
         byte = _byte_alphabet()
         self.bytes = [b""] * self.tok.get_vocab_size(with_added_tokens=True)
         for token, i in self.tok.get_vocab(with_added_tokens=True).items():
-            self.bytes[i] = token.encode() if token in self.special else bytes(map(byte.__getitem__, token))
+            self.bytes[i] = token.encode() if token in special else bytes(map(byte.__getitem__, token))
+        # tokens that begin inside a character
+        self.inside = np.array([b != b"" and b[0] & 0xC0 == 0x80 for b in self.bytes])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        leaves, count = [], []
+        for text in texts:
+            parts = self._halved(text)
+            leaves += parts
+            count.append(len(parts))
+        ids = self._whole(leaves)
+        out, at = [], 0
+        with ThreadPoolExecutor(self.threads) as pool:
+            for n in count:
+                parts = ids[at : at + n]
+                at += n
+                while len(parts) > 1:
+                    self.joins += len(parts) // 2
+                    parts = list(pool.map(self._join, parts[::2], parts[1::2]))
+                out.append(parts[0])
+        return out
+
+    def _halved(self, text: str) -> list[str]:
+        """Leaves from left to right; their number is a power of two."""
+        parts = [text]
+        while max(map(len, parts)) > self.leaf:
+            parts = [half for p in parts for half in (p[: (len(p) + 1) // 2], p[(len(p) + 1) // 2 :])]
+        return parts
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        """Each text encoded in one piece."""
         out: list = [None] * len(texts)
         rest = []
         for i, t in enumerate(texts):
-            if len(t) > self.long and self.suspect.search(t):
-                out[i] = np.asarray(self._encode_long(t), "<u4")
-            elif _OTHER_THAN_KNOWN.search(t) or (self.cut and self.cut.search(t)):
+            if _OTHER_THAN_KNOWN.search(t) or (self.special and self.special.search(t)):
                 rest.append(i)
             else:
                 out[i] = np.frombuffer(b"".join(map(self.pieces.__getitem__, _PRE_TOKENS.findall(t))), "<u4")
@@ -121,6 +157,23 @@ class TreeEncoder:
                 out[i] = np.asarray(e.ids, "<u4")
         return out
 
+    def _join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        reach = self.reach
+        while True:
+            i, j = max(0, len(left) - reach), min(len(right), reach)
+            # a window holds whole characters
+            while i > 0 and self.inside[left[i]]:
+                i -= 1
+            while j < len(right) and self.inside[right[j]]:
+                j += 1
+            a, b = left[i:], right[:j]
+            window = self._whole([b"".join(map(self.bytes.__getitem__, np.concatenate([a, b]).tolist())).decode()])[0]
+            left_agrees = i == 0 or np.array_equal(window[:AGREE], a[:AGREE])
+            right_agrees = j == len(right) or np.array_equal(window[-AGREE:], b[-AGREE:])
+            if left_agrees and right_agrees:
+                return np.concatenate([left[:i], window, right[j:]])
+            reach *= 2
+
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         return [self._decoded(x.tolist()) for x in ids]
 
@@ -130,49 +183,6 @@ class TreeEncoder:
         except UnicodeDecodeError:  # not the encoding of a text: the library says what stands for broken bytes
             return self.tok.decode(ids, skip_special_tokens=False)
 
-    def _encode_long(self, text: str) -> list[int]:
-        ids: list[int] = []
-        for segment in self.cut.split(text) if self.cut else [text]:
-            if segment in self.special:
-                ids.append(self.special[segment])
-                continue
-            small: list[str] = []
-            for piece, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(segment):
-                if b - a <= self.long:
-                    small.append(piece)
-                    continue
-                ids += self._small(small)
-                small = []
-                ids += [t.id for t in self._tree(piece)]
-            ids += self._small(small)
-        return ids
-
-    def _small(self, pieces: list[str]) -> list[int]:
-        return [t.id for p in pieces for t in self.tok.model.tokenize(p)]
-
-    def _tree(self, piece: str):
-        """piece: in the model's byte alphabet, one character for each byte."""
-        leaves = [piece[i : i + self.leaf] for i in range(0, len(piece), self.leaf)]
-        with ThreadPoolExecutor(self.threads) as pool:
-            parts = [list(p) for p in pool.map(self.tok.model.tokenize, leaves)]
-            while len(parts) > 1:
-                pairs = [parts[i : i + 2] for i in range(0, len(parts), 2)]
-                parts = list(pool.map(lambda p: self._join(*p) if len(p) == 2 else p[0], pairs))
-        return parts[0] if parts else []
-
-    def _join(self, left: list, right: list) -> list:
-        reach = REACH
-        while True:
-            a, b = left[-reach:], right[:reach]
-            window = self.tok.model.tokenize("".join(t.value for t in a) + "".join(t.value for t in b))
-            all_left, all_right = len(a) == len(left), len(b) == len(right)
-            ids = [t.id for t in window]
-            left_agrees = all_left or ids[:AGREE] == [t.id for t in a[:AGREE]]
-            right_agrees = all_right or ids[-AGREE:] == [t.id for t in b[-AGREE:]]
-            if left_agrees and right_agrees:
-                return left[: len(left) - len(a)] + window + right[len(b) :]
-            reach *= 2
-
 
 def _digests(path: str):
     def run(batches):
@@ -219,13 +229,13 @@ def _rows(path: str):
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, text and ids (array of int) for each row."""
     ids = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_rows(path or default_vocabulary()), f"doc_id {ids}, text string, ids array<int>")
+    return lean(docs).select("doc_id", "text").mapInArrow(_rows(path or default_vocabulary()), f"doc_id {ids}, text string, ids array<int>")
 
 
 def encode_and_decode(docs: DataFrame, path: str | None = None, carry: list[str] | None = None) -> DataFrame:
     """doc_id, the carried columns, n_tokens, ids_sha256 (ids as little-endian 32-bit integers), decoded_sha256."""
     held = ["doc_id", *(carry or [])]
     types = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in held)
-    return docs.select(*held, "text").mapInArrow(
+    return lean(docs).select(*held, "text").mapInArrow(
         _digests(path or default_vocabulary()), f"{types}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
