@@ -12,8 +12,12 @@ cluster.  Nothing in the file depends on time or chance, so equal payloads
 give equal files.
 
 Defined cases.  Null text: as the empty text, which is one frame of padding.
-Elements of other kinds are skipped; a file that ends early gives the packets
-that are whole.  Repeated rows give equal results.
+Elements of other kinds, and elements where they do not belong, are skipped; a
+float of no, four or eight bytes is read, of any other length it is zero; a
+file that ends early or is broken gives the packets before that place.  Null
+media has no packets.  Repeated rows give equal results.  A text of any length
+is one row; its file must fit a worker several times over.  An empty table
+gives an empty result.  Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from persistra.llm.base import lean
+
 FRAME = 576
 RATE = 8000
 FRAMES_PER_BLOCK, BLOCKS_PER_CLUSTER = 8, 32
@@ -36,7 +42,8 @@ AUDIO, FREQUENCY, CHANNELS, DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER, TIME, SIMPLE_BLOCK, GROUP, BLOCK, REFERENCE = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUES, CUE, CUE_TIME, CUE_PLACE, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 TOP_LEVEL = {SEGMENT, INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1043A770, 0x1254C367, 0x1941A469}
-CONTAINERS = {SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, GROUP, CUES, CUE, CUE_PLACE}
+#: what is read inside what; nothing else is entered, so no file nests deeper than this
+INSIDE = {None: {SEGMENT}, SEGMENT: {INFO, TRACKS, CLUSTER, CUES}, TRACKS: {TRACK}, TRACK: {AUDIO}, CLUSTER: {GROUP}, CUES: {CUE}, CUE: {CUE_PLACE}}
 
 
 @dataclass
@@ -101,11 +108,11 @@ class Parser:
         self.base = 0
         self.cluster_time = 0
         try:
-            self._walk(0, len(buf), False)
+            self._walk(0, len(buf), False, None)
         except IndexError:  # the file ends inside an element
             pass
 
-    def _walk(self, at: int, end: int, open_ended: bool, into: dict | None = None) -> int:
+    def _walk(self, at: int, end: int, open_ended: bool, parent: int | None, into: dict | None = None) -> int:
         buf, media = self.buf, self.media
         while at < end:
             head = at
@@ -114,13 +121,13 @@ class Parser:
                 return head
             size, at = read_size(buf, at)
             stop = end if size is None else min(at + size, end)
-            if eid in CONTAINERS:
+            if eid in INSIDE.get(parent, ()):
                 inner: dict = {"refs": 0}
                 if eid == SEGMENT:
                     self.base = at
                 elif eid == CLUSTER:
                     media.clusters.append((head, 0))
-                stop = self._walk(at, stop, size is None and eid != SEGMENT, inner)
+                stop = self._walk(at, stop, size is None and eid != SEGMENT, eid, inner)
                 if eid == TRACK and NUMBER in inner:
                     media.tracks[inner[NUMBER]] = {"kind": inner.get(KIND), "codec": inner.get(CODEC, ""), **{k: inner[k] for k in (FREQUENCY, CHANNELS, DEPTH) if k in inner}}
                 elif eid == AUDIO and into is not None:
@@ -131,7 +138,7 @@ class Parser:
                     into.setdefault("places", []).append((inner.get(CUE_TRACK, 0), self.base + inner.get(CUE_CLUSTER, 0)))
                 elif eid == CUE:
                     media.cues += [(inner.get(CUE_TIME, 0), *p) for p in inner.get("places", [])]
-            elif eid == SIMPLE_BLOCK and at + (size or 0) <= end:
+            elif eid == SIMPLE_BLOCK and parent == CLUSTER and at + (size or 0) <= end:
                 self._block(at, stop, key=False, simple=True)
             elif into is not None:
                 if eid == BLOCK:
@@ -141,7 +148,7 @@ class Parser:
                 elif eid == CODEC:
                     into[CODEC] = buf[at:stop].decode("ascii", "replace")
                 elif eid == FREQUENCY:
-                    into[FREQUENCY] = struct.unpack(">f" if stop - at == 4 else ">d", buf[at:stop])[0]
+                    into[FREQUENCY] = struct.unpack({4: ">f", 8: ">d"}[stop - at], buf[at:stop])[0] if stop - at in (4, 8) else 0.0
                 elif stop - at <= 8:
                     into[eid] = value = int.from_bytes(buf[at:stop])
                     if eid == SCALE:
@@ -158,6 +165,8 @@ class Parser:
         relative = int.from_bytes(self.buf[at : at + 2], signed=True)
         flags, at = self.buf[at + 2], at + 3
         lacing, sizes, at = _lacing(self.buf, at, end, flags >> 1 & 3)
+        if min(sizes) < 0 or at + sum(sizes) > end:  # sizes that do not fit the block
+            return
         time = (self.cluster_time + relative) * self.media.scale
         info = self.media.tracks.get(track, {})
         # laced frames of PCM follow each other by their sample counts
@@ -247,7 +256,7 @@ def _round_trip(batches):
 def store_and_read_back(docs: DataFrame) -> DataFrame:
     """Texts as media, and what their packet tables give back."""
     ids = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
+    return lean(docs).select("doc_id", "text").mapInArrow(
         _round_trip,
         f"doc_id {ids}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
     )
@@ -267,6 +276,6 @@ def _packets(batches):
 def packet_table(media: DataFrame) -> DataFrame:
     """media: media_id, media (binary) -> one row for each packet with its byte range."""
     ids = media.schema["media_id"].dataType.simpleString()
-    return media.select("media_id", "media").mapInArrow(
+    return lean(media).select("media_id", "media").mapInArrow(
         _packets, f"media_id {ids}, packet int, track long, timestamp_ns long, cluster int, start long, size long, key_frame boolean, lacing string"
     )
