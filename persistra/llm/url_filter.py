@@ -17,7 +17,8 @@ default verdict.
 
 Defined cases.  Null URL or none with ``://``: host and path empty, default
 verdict.  Characters outside all rules match wildcards only.  URLs of any
-length are read whole.  Repeated rows get equal results.
+length are read whole.  Repeated rows get equal results.  An empty table gives
+an empty result.  Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from persistra.llm.base import lean
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -133,7 +136,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, def
     """page_id, host, path, rule (null where none fits), verdict of every row."""
     host, path = host_and_path()
     ids = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", host.alias("host"), path.alias("path")).mapInArrow(
+    return lean(pages).select("page_id", host.alias("host"), path.alias("path")).mapInArrow(
         _judge(RULES if rules is None else rules, default), f"page_id {ids}, host string, path string, rule string, verdict string"
     )
 
