@@ -20,7 +20,9 @@ codes and lists only save work, and how much depends on the vectors (where
 they lie evenly in many dimensions, every list is read).
 
 The model (centres, scales, code centres) is fitted on a sample of at most
-``TRAIN_VALUES`` numbers, chosen by a hash of vec_id; every row is indexed.
+``TRAIN_VALUES`` numbers and ``TRAIN_ROWS`` rows, chosen by hash; every row is
+indexed.  Lists grow with the rows, one for ``ROWS_PER_LIST`` of them, as far as
+the sample has ``SAMPLE_PER_LIST`` rows for each.
 
 Scale and skew.  Small lists are put together and large ones cut, into blocks of
 about ``BLOCK_ROWS`` rows, and the queries of each into groups of about
@@ -30,9 +32,13 @@ numbers for each list) are all that reaches the driver.
 
 Defined cases.  Vectors that are null, empty, zero, hold a null or a non-finite
 number, or are not of the commonest dimension (the smaller on a tie) take no
-part, nor does a null vec_id.  Of rows with one vec_id the one with the least
-vector counts.  Equal distances: smaller vec_id first.  Extra columns are
-ignored.  With fewer candidates than asked for, all are returned.
+part, nor does a null vec_id.  Repeated rows and rows that share a vec_id are
+rows of their own: each is a query where its vec_id is one, and a candidate for
+all but itself.  Equal distances: smaller vec_id first.  Numbers keep the type
+of the table, and distances are of those numbers in double precision.  An empty
+table gives an empty result.  Vectors of any length are rows that must fit a
+worker.  Extra columns are ignored, whatever their names.  With fewer
+candidates than asked for, all are returned.
 """
 
 from __future__ import annotations
@@ -45,11 +51,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from persistra.llm.base import Scratch
+from persistra.llm.base import Scratch, lean
 
 TRAIN_VALUES = 1 << 22
 TRAIN_ROWS = 1 << 16
-ROWS_PER_LIST, MAX_LISTS = 128, 2048
+#: rows of the sample that the code centres are fitted on
+CODE_ROWS = 1 << 13
+ROWS_PER_LIST, SAMPLE_PER_LIST = 128, 32
 #: lists of the first round; the second reads whatever the bound leaves
 PROBES = 96
 #: rows of each block that are reranked first
@@ -80,8 +88,8 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
         near, far = nearest(x, centre)
         size = np.bincount(near, minlength=k)
         total = np.zeros_like(centre)
-        np.add.at(total, near, x)
         full = size > 0
+        total[full] = np.add.reduceat(x[np.argsort(near, kind="stable")], (np.cumsum(size) - size)[full])
         centre[full] = total[full] / size[full, None]
         if (~full).any():
             centre[~full] = x[np.argsort(-far, kind="stable")[: int((~full).sum())]]
@@ -117,6 +125,8 @@ class Quantiser:
         scale = np.sqrt(np.maximum(total / size, 0))
         typical = float(np.sqrt(max(far.mean(), 1e-30)))
         scale = np.maximum(scale, 1e-6 * typical).astype(np.float32)
+        pick = np.linspace(0, len(x) - 1, min(len(x), CODE_ROWS)).astype(int)
+        x, near = x[pick], near[pick]
         dim = x.shape[1]
         eta = (dim - 1) * COSINE**2 / (1 - COSINE**2)
         parts = dim // 2
@@ -186,42 +196,42 @@ class Quantiser:
         return (dots[1::2, :, None] + dots[0::2, None, :]).reshape(-1, 256)
 
 
-def _padded(column: pa.Array, dim: int) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
-    x = flat.reshape(len(column), dim)
-    return np.pad(x, ((0, 0), (0, -dim % 4)))
+def _padded(column: pa.Array, dim: int, scale: float) -> np.ndarray:
+    """Vectors times a power of two that brings the table's largest number near one, in double precision."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64) * scale
+    return np.pad(flat.reshape(len(column), dim), ((0, 0), (0, -dim % 4)))
 
 
-def _index(model: Quantiser, dim: int):
+def _index(model: Quantiser, dim: int, scale: float):
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _padded(batch.column("embedding"), dim)
+            x = _padded(batch.column("embedding"), dim, scale).astype(np.float32)
             near, code, norm = model.encode(x)
             far = np.sqrt(((x.astype(np.float64) - model.centre[near]) ** 2).sum(1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id"), pa.array(near.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(norm), pa.array(far), batch.column("embedding")],
-                ["vec_id", "lst", "code", "norm", "far", "embedding"],
+                [batch.column("row"), batch.column("vec_id"), pa.array(near.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(norm), pa.array(far), batch.column("embedding")],
+                ["row", "vec_id", "lst", "code", "norm", "far", "embedding"],
             )
 
     return run
 
 
-def _probes(model: Quantiser, dim: int, sizes: np.ndarray, probes: int, least: int):
+def _probes(model: Quantiser, dim: int, scale: float, sizes: np.ndarray, probes: int, least: int):
     """The nearest lists of each query, as many as asked for and as hold enough rows."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _padded(batch.column("embedding"), dim)
+            x = _padded(batch.column("embedding"), dim, scale).astype(np.float32)
             d = (model.centre**2).sum(1) - 2 * x @ model.centre.T
             order = np.argsort(d, 1, kind="stable")
             enough = np.cumsum(sizes[order], 1) >= least
             stop = np.maximum(np.where(enough.any(1), enough.argmax(1) + 1, order.shape[1]), min(probes, order.shape[1]))
             lists = [o[:s][sizes[o[:s]] > 0].astype(np.int32) for o, s in zip(order, stop)]
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(lists, pa.list_(pa.int32()))], ["query_id", "q", "lists"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("vec_id"), batch.column("embedding"), pa.array(lists, pa.list_(pa.int32()))], ["asker", "query_id", "q", "lists"])
 
     return run
 
@@ -238,7 +248,7 @@ def _bundles(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bundle, np.array(blocks, np.int64)
 
 
-def _rest(model: Quantiser, dim: int, sizes: np.ndarray, inner: np.ndarray, outer: np.ndarray):
+def _rest(model: Quantiser, dim: int, scale: float, sizes: np.ndarray, inner: np.ndarray, outer: np.ndarray):
     """The lists not read yet that can hold a row within each query's limit."""
 
     def run(batches):
@@ -247,17 +257,18 @@ def _rest(model: Quantiser, dim: int, sizes: np.ndarray, inner: np.ndarray, oute
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _padded(batch.column("q"), dim).astype(np.float64)
+            x = _padded(batch.column("q"), dim, scale)
             own = (x**2).sum(1)
             d = np.sqrt(np.maximum(own[:, None] + norm - 2 * x @ centre.T, 0))
             slack = 1e-6 * (np.sqrt(own) + np.sqrt(norm.max()) + outer.max())
-            limit = batch.column("limit").to_numpy()
+            limit = batch.column("limit").to_numpy() * scale
             open_ = (np.maximum(d - outer, inner - d) <= (limit + slack)[:, None]) & (sizes > 0)
             for row, done in zip(open_, batch.column("lists").to_pylist()):
                 row[done] = False
             lists = [np.flatnonzero(row).astype(np.int32) for row in open_]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("query_id"), batch.column("q"), pa.array(lists, pa.list_(pa.int32())), batch.column("limit")], ["query_id", "q", "lists", "limit"]
+                [batch.column("asker"), batch.column("query_id"), batch.column("q"), pa.array(lists, pa.list_(pa.int32())), batch.column("limit")],
+                ["asker", "query_id", "q", "lists", "limit"],
             )
 
     return run
@@ -279,36 +290,37 @@ def _deal(bundle: np.ndarray):
                         lists.append(wanted[bundle[wanted] == b])
                 part = batch.take(pa.array(rows, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("query_id"), part.column("q"), pa.array(lists, pa.list_(pa.int32())), part.column("limit"), pa.array(to, pa.int32())],
-                    ["query_id", "q", "lists", "limit", "bundle"],
+                    [part.column("asker"), part.column("query_id"), part.column("q"), pa.array(lists, pa.list_(pa.int32())), part.column("limit"), pa.array(to, pa.int32())],
+                    ["asker", "query_id", "q", "lists", "limit", "bundle"],
                 )
 
     return run
 
 
-def _scan(model: Quantiser, dim: int, keep: int, k: int):
+def _scan(model: Quantiser, dim: int, scale: float, keep: int, k: int):
     def run(block: pa.Table, queries: pa.Table) -> pa.Table:
         found = []
         if len(block) and len(queries):
-            block = block.sort_by("vec_id")
-            ids = block["vec_id"].to_numpy()
+            block = block.sort_by([("vec_id", "ascending"), ("row", "ascending")])
+            ids, row = block["vec_id"].to_numpy(), block["row"].to_numpy()
             norm = block["norm"].to_numpy()
-            rows = _padded(block["embedding"].combine_chunks(), dim).astype(np.float64)
+            rows = _padded(block["embedding"].combine_chunks(), dim, scale)
             own = (rows**2).sum(1)
             code = np.frombuffer(b"".join(block["code"].to_pylist()), np.uint8).reshape(len(ids), -1)
             lst = block["lst"].to_numpy()
             error = np.sqrt(((rows - model.decode(lst, code)) ** 2).sum(1))
             code = np.ascontiguousarray(code.T)
             held, which = np.unique(lst, return_inverse=True)
-            centre, scale = model.centre[held].astype(np.float64), model.scale[lst].astype(np.float64)
-            x = _padded(queries["q"].combine_chunks(), dim).astype(np.float64)
-            for qid, q, lists, limit in zip(queries["query_id"].to_pylist(), x, queries["lists"].to_pylist(), queries["limit"].to_pylist()):
-                at = np.flatnonzero(np.isin(held, lists)[which] & (ids != qid))
+            centre, widths = model.centre[held].astype(np.float64), model.scale[lst].astype(np.float64)
+            x = _padded(queries["q"].combine_chunks(), dim, scale)
+            for asker, qid, q, lists, limit in zip(*(queries[c].to_pylist() for c in ("asker", "query_id")), x, queries["lists"].to_pylist(), queries["limit"].to_pylist()):
+                at = np.flatnonzero(np.isin(held, lists)[which] & (row != asker))
+                limit *= scale
                 table = model.tables(q)
                 dot = np.zeros(len(at))
                 for b, c in enumerate(code):
                     dot += table[b][c[at]]
-                near = norm[at] - 2 * ((centre @ q)[which[at]] + scale[at] * dot) + q @ q
+                near = norm[at] - 2 * ((centre @ q)[which[at]] + widths[at] * dot) + q @ q
                 slack = 1e-9 * (q @ q + own.max() + norm.max())
                 first = np.ones(len(at), bool)
                 if len(at) > keep:
@@ -322,52 +334,56 @@ def _scan(model: Quantiser, dim: int, keep: int, k: int):
                 best, score = np.concatenate([best, more]), np.concatenate([score, np.sqrt(((rows[more] - q) ** 2).sum(1))])
                 order = np.lexsort((ids[best], score))[:k]
                 order = order[score[order] <= limit]
-                found.append((np.full(len(order), qid), ids[best][order], score[order]))
-        cols = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
+                found.append((np.full(len(order), asker), np.full(len(order), qid), ids[best][order], score[order] / scale))
+        cols = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
+        return pa.table({**{n: pa.array(c, pa.int64()) for n, c in zip(("asker", "query_id", "vec_id"), cols)}, "score": pa.array(cols[3], pa.float64())})
 
     return run
 
 
-def usable(vectors: DataFrame) -> tuple[DataFrame, int, int]:
-    """(vec_id, embedding) of the rows that take part, one for each vec_id; their number and dimension."""
-    ok = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).filter(
+def usable(vectors: DataFrame) -> tuple[DataFrame, int, int, float]:
+    """(row, vec_id, embedding) of the rows that take part; their number, dimension and a power of two to scale them by."""
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    ok = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding")).filter(
         "vec_id is not null and size(embedding) > 0"
-        " and forall(embedding, v -> v is not null and not isnan(v) and abs(v) < float('infinity')) and exists(embedding, v -> v <> 0)"
+        f" and forall(embedding, v -> v is not null and not isnan(v) and abs(v) < {kind}('infinity')) and exists(embedding, v -> v <> 0)"
     )
-    dims = ok.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
+    largest = F.max(F.expr("array_max(transform(embedding, v -> abs(double(v))))"))
+    dims = ok.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n"), largest.alias("top")).orderBy(F.desc("n"), "d").first()
     if dims is None:
-        return ok, 0, 0
-    one = ok.filter(F.size("embedding") == dims["d"]).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    return one, dims["n"], dims["d"]
+        return ok, 0, 0, 1.0
+    # ordinary numbers stay as they are
+    scale = 1.0 if 1e-6 < dims["top"] < 1e6 else 2.0 ** -max(-1000, min(1000, int(np.floor(np.log2(dims["top"])))))
+    return ok.filter(F.size("embedding") == dims["d"]).withColumn("row", F.monotonically_increasing_id()), dims["n"], dims["d"], scale
 
 
 def search(vectors: DataFrame, k: int = 10, every: int = 100, probes: int = PROBES, candidates: int = CANDIDATES) -> DataFrame:
     """The k nearest found of each vector whose vec_id is divisible by ``every``: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
-    rows, n, dim = usable(vectors)
+    rows, n, dim, scale = usable(lean(vectors))
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     scratch = Scratch(spark, "ann")
     kept = scratch.keep(rows, "rows")
     want = max(64, min(TRAIN_ROWS, TRAIN_VALUES // dim))
-    drawn = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20))
+    kind = rows.schema["embedding"].dataType.simpleString()
+    drawn = F.pmod(F.xxhash64("vec_id", "row"), F.lit(1 << 20))
     sample = kept.filter(drawn <= (1 << 20) * want / n).select(drawn.alias("h"), "vec_id", "embedding").toArrow().sort_by([("h", "ascending"), ("vec_id", "ascending")]).slice(0, want)
     if not len(sample):
         sample = kept.orderBy(drawn, "vec_id").limit(want).toArrow()
-    x = _padded(sample["embedding"].combine_chunks(), dim)
-    model = Quantiser.fit(x, max(1, min(MAX_LISTS, n // ROWS_PER_LIST, len(x) // 32)))
-    index = scratch.keep(kept.mapInArrow(_index(model, dim), "vec_id long, lst int, code binary, norm double, far double, embedding array<float>"), "index")
+    x = _padded(sample["embedding"].combine_chunks(), dim, scale).astype(np.float32)
+    model = Quantiser.fit(x, max(1, min(n // ROWS_PER_LIST, len(x) // SAMPLE_PER_LIST)))
+    index = scratch.keep(kept.mapInArrow(_index(model, dim, scale), f"row long, vec_id long, lst int, code binary, norm double, far double, embedding {kind}"), "index")
     sizes, inner, outer = np.zeros(len(model.centre), np.int64), np.zeros(len(model.centre)), np.zeros(len(model.centre))
     for r in index.groupBy("lst").agg(F.count("*").alias("n"), F.min("far").alias("inner"), F.max("far").alias("outer")).collect():
         sizes[r["lst"]], inner[r["lst"]], outer[r["lst"]] = r["n"], r["inner"], r["outer"]
     bundle, blocks = _bundles(sizes)
     queries = kept.filter(F.col("vec_id") % every == 0)
-    asked = scratch.keep(queries.mapInArrow(_probes(model, dim, sizes, probes, 4 * k), "query_id long, q array<float>, lists array<int>"), "asked")
+    asked = scratch.keep(queries.mapInArrow(_probes(model, dim, scale, sizes, probes, 4 * k), f"asker long, query_id long, q {kind}, lists array<int>"), "asked")
 
     def answer(wanted: DataFrame, name: str) -> DataFrame:
         """Up to k nearest rows of the wanted lists within the limit, of each query and block."""
-        dealt = scratch.keep(wanted.mapInArrow(_deal(bundle), "query_id long, q array<float>, lists array<int>, limit double, bundle int"), f"{name}_dealt")
+        dealt = scratch.keep(wanted.mapInArrow(_deal(bundle), f"asker long, query_id long, q {kind}, lists array<int>, limit double, bundle int"), f"{name}_dealt")
         asks = np.zeros(len(blocks), np.int64)
         for r in dealt.groupBy("bundle").count().collect():
             asks[r["bundle"]] = r["count"]
@@ -375,19 +391,19 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, probes: int = PROB
         n_blocks = F.element_at(F.array(*(F.lit(int(b)) for b in blocks)), F.col("bundle") + 1)
         n_groups = F.element_at(F.array(*(F.lit(int(-(-a // BLOCK_QUERIES))) for a in asks)), F.col("bundle") + 1)
         left = index.withColumn("bundle", place).filter(n_groups > 0)
-        left = left.withColumn("blk", F.pmod(F.xxhash64("vec_id"), n_blocks).cast("int")).withColumn("grp", F.explode(F.sequence(F.lit(0), n_groups - 1)))
-        right = dealt.withColumn("grp", F.pmod(F.xxhash64("query_id"), n_groups).cast("int")).withColumn("blk", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+        left = left.withColumn("blk", F.pmod(F.xxhash64("row"), n_blocks).cast("int")).withColumn("grp", F.explode(F.sequence(F.lit(0), n_groups - 1)))
+        right = dealt.withColumn("grp", F.pmod(F.xxhash64("asker"), n_groups).cast("int")).withColumn("blk", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
         keys = ("bundle", "blk", "grp")
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_scan(model, dim, candidates, k), "query_id long, vec_id long, score double")
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_scan(model, dim, scale, candidates, k), "asker long, query_id long, vec_id long, score double")
 
     def best(found: DataFrame) -> DataFrame:
-        return found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))).filter(F.col("rank") <= k)
+        return found.withColumn("rank", F.row_number().over(W.partitionBy("asker").orderBy("score", "vec_id"))).filter(F.col("rank") <= k)
 
     found = answer(asked.withColumn("limit", F.lit(float("inf"))), "first")
     if probes < int((sizes > 0).sum()):
         found = scratch.keep(best(found).drop("rank"), "first")
-        limits = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("score")).otherwise(F.lit(float("inf"))).alias("limit"))
-        rest = asked.join(limits, "query_id", "left").select("query_id", "q", "lists", F.coalesce("limit", F.lit(float("inf"))).alias("limit"))
-        rest = rest.mapInArrow(_rest(model, dim, sizes, inner, outer), "query_id long, q array<float>, lists array<int>, limit double")
+        limits = found.groupBy("asker").agg(F.when(F.count("*") >= k, F.max("score")).otherwise(F.lit(float("inf"))).alias("limit"))
+        rest = asked.join(limits, "asker", "left").select("asker", "query_id", "q", "lists", F.coalesce("limit", F.lit(float("inf"))).alias("limit"))
+        rest = rest.mapInArrow(_rest(model, dim, scale, sizes, inner, outer), f"asker long, query_id long, q {kind}, lists array<int>, limit double")
         found = found.unionByName(answer(rest, "rest"))
     return best(found).select("query_id", "rank", "vec_id", "score")
