@@ -3,25 +3,39 @@
 A window is ``width`` consecutive words.  Every window has an anchor: the
 leftmost of its ``gram``-word phrases with the least hash.  Equal windows have
 equal anchors, at the same place in them, so windows need only be compared
-where their anchors agree.  Neighbouring windows with one anchor form a run.
-
-1. *Confirm.*  Runs (anchor, hash of all words of the run) are counted over all
-   documents, combined before the shuffle.  A run that is found twice recurs
-   as a whole.  Runs found once whose anchor is found elsewhere too are taken
-   apart: their windows are hashed and counted.
+where their anchors agree.  Neighbouring windows with one anchor form a run;
+all words of a run, from its first window to the end of its last, are a
+passage of at most ``2 * width`` words around the anchor.
+
+1. *Confirm.*  Runs are counted over all documents.  A run that is found twice
+   recurs as a whole.  Runs found once whose anchor is found elsewhere too are
+   taken apart: their windows are hashed and counted.  What is found twice is
+   a confirmed passage: its phrase, the words before the phrase, its length,
+   and a hash of all its words.
 2. *Compile.*  Documents are dealt over blocks of a few megabytes; each block
-   is a shard with an Aho-Corasick automaton (pyahocorasick, over word numbers)
-   of the confirmed phrases that its documents can hold.
-3. *Locate.*  The block's documents are streamed through the automaton; around
-   every hit the runs and windows are checked exactly (two independent 64-bit
-   hashes) against the confirmed ones, and their words are removed.
-
-No pattern is broadcast; a shard's patterns are bounded by its own text.  A
-phrase of a third of all documents is one row for each block.
+   is a shard with an Aho-Corasick automaton (pyahocorasick) of the phrases of
+   the confirmed passages that its documents can hold.  The automaton reads
+   words as codes of ten bits, two symbols each.
+3. *Locate.*  The block's documents are streamed through the automaton.  A hit
+   names the phrase; the confirmed passages of that phrase, and no others, are
+   compared with the words around the hit by their hash, and the words of those
+   that agree are removed.  Nothing else proposes a place.
+
+Hashes.  Words are compared by 64-bit hashes, never letter by letter: windows
+count as equal when phrase code (60 bits), place and a polynomial hash of their
+word hashes (64 bits) are equal.
+
+Scale and skew.  No pattern is broadcast; a shard's patterns are bounded by its
+own text.  Counts are combined before the shuffle; counts by phrase are salted
+by block, and a passage of a third of all documents is one row for each block.
+Texts are read about ``PORTION`` bytes at a time, one text at least.
 
 Defined cases.  Null text: no words, nothing removed.  Texts shorter than a
 window lose nothing.  Repeated rows are documents of their own, so each finds
-its windows in the other.  Null doc_id is allowed.  Extra columns are ignored.
+its windows in the other, and they are dealt to blocks apart.  Null doc_id is
+allowed.  An empty table gives an empty result.  A text of any length is one
+row that must fit a worker several times over; nothing is cut.  Extra columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,71 +43,86 @@ from __future__ import annotations
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from persistra.llm.base import Scratch, WordHashes, block_count, mix64, powers, word_hashes, words_of
+from persistra.llm.base import Scratch, WordHashes, block_count, lean, mix64, portions, powers, words_of
 
 WIDTH = 35
 GRAM = 6
-_B1, _B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-_SALT = np.uint64(0xD6E8FEB86659FD93)
-
-
-def sliding_argmin(h: np.ndarray, w: int) -> np.ndarray:
-    """Index of the leftmost least value in every w consecutive values."""
-    best = np.arange(len(h))
-    span = 1
-    while span * 2 <= w:
-        a, b = best[:-span], best[span:]
-        best = np.where(h[a] <= h[b], a, b)
-        span *= 2
-    n = len(h) - w + 1
-    a, b = best[:n], best[w - span : w - span + n]
-    return np.where(h[a] <= h[b], a, b)
-
-
-_KNOWN: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """The first n powers (or more), computed once for a process."""
-    if len(_KNOWN.get(base, ())) < n:
-        _KNOWN[base] = powers(base, max(4096, 2 * n))
-    return _KNOWN[base]
-
-
-class Windows:
-    """Anchors, runs and window hashes of one document's words."""
-
-    def __init__(self, h: np.ndarray, width: int, gram: int):
-        self.width, n = width, len(h)
-        grams = np.zeros(n - gram + 1, np.uint64)
-        p = _powers(_B1, gram)
+#: bits of a word's code in a phrase, half of them to a symbol
+CODE = 10
+#: bytes of text that are hashed at a time
+PORTION = 1 << 20
+#: parts of the count of one phrase
+SALT = 64
+_BASE = 0xC2B2AE3D27D4EB4F
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_SECOND = np.uint64(0xD6E8FEB86659FD93)
+#: a passage's place: words before its phrase, times this, plus its words
+_PLACE = 1 << 10
+
+
+class Line:
+    """The words of several documents one after the other, and hashes of any stretch of them."""
+
+    def __init__(self, texts: list[bytes | None], hashes: WordHashes):
+        self.words: list[bytes] = []
+        size = []
+        for text in texts:
+            w = words_of(text)
+            self.words += w
+            size.append(len(w))
+        self.size = np.array(size, np.int64)
+        self.end = np.cumsum(self.size)
+        self.start = self.end - self.size
+        self.h = hashes.of(self.words)
+        n = len(self.h)
+        self.prefix = np.zeros(n + 1, np.uint64)
+        np.cumsum(mix64(self.h ^ _SECOND) * powers(_BASE, n), dtype=np.uint64, out=self.prefix[1:])
+        self.inverse = powers(_INVERSE, n + 1)
+
+    def stretch(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return mix64((self.prefix[stop] - self.prefix[start]) * self.inverse[start])
+
+    def codes(self) -> np.ndarray:
+        return self.h >> np.uint64(64 - CODE)
+
+
+class Runs:
+    """Anchors and runs of the windows of a line, none of which crosses documents."""
+
+    def __init__(self, line: Line, width: int, gram: int):
+        n = len(line.h)
+        if n < width:
+            self.first = self.last = self.at = np.zeros(0, np.int64)
+            self.phrase = self.whole = np.zeros(0, np.uint64)
+            self.place = np.zeros(0, np.int32)
+            return
+        code = line.codes()
+        phrase = np.zeros(n - gram + 1, np.uint64)
         for j in range(gram):
-            grams += h[j : n - gram + 1 + j] * p[j]
-        self.grams = mix64(grams)
-        self.anchor = sliding_argmin(self.grams, width - gram + 1)
-        self.first = np.flatnonzero(np.diff(self.anchor, prepend=-1))
-        self.last = np.append(self.first[1:], len(self.anchor)) - 1
-        self.at = self.anchor[self.first]
-        self.phrase = self.grams[self.at]
-        # prefix sums of a second, independent hash of the words
-        self.power = _powers(_B2, n + 1)
-        self.prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(h ^ _SALT) * self.power[:n], dtype=np.uint64)])
-        self.inverse = _powers(pow(_B2, -1, 1 << 64), n + 1)
-
-    def _span(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return (self.prefix[stop] - self.prefix[start]) * self.inverse[start]
-
-    def run_hashes(self) -> np.ndarray:
-        """Of all words of each run, its extent and its anchor's place in it."""
-        extent = (self.last - self.first).astype(np.uint64) * np.uint64(self.width) + (self.at - self.first).astype(np.uint64)
-        return mix64(self._span(self.first, self.last + self.width) ^ mix64(extent + np.uint64(1)))
-
-    def window_hashes(self, start: np.ndarray) -> np.ndarray:
-        return mix64(self._span(start, start + self.width))
+            phrase = (phrase << np.uint64(CODE)) | code[j : n - gram + 1 + j]
+        # the least of rank and position together: the leftmost phrase of least rank
+        best = (mix64(phrase + np.uint64(1)) & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(phrase), dtype=np.uint64)
+        span, w = 1, width - gram + 1
+        while span * 2 <= w:
+            best = np.minimum(best[:-span], best[span:])
+            span *= 2
+        windows = n - width + 1
+        best = np.minimum(best[:windows], best[w - span : w - span + windows])
+        inside = np.flatnonzero(np.repeat(line.end, line.size)[:windows] - np.arange(windows) >= width)
+        anchor = (best[inside] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        new = np.ones(len(inside), bool)
+        new[1:] = (np.diff(anchor) != 0) | (np.diff(inside) != 1)
+        head = np.flatnonzero(new)
+        self.first = inside[head]
+        self.last = inside[np.append(head[1:], len(inside)) - 1] if len(head) else self.first
+        self.at = anchor[head]
+        self.phrase = phrase[self.at]
+        self.place = ((self.at - self.first) * _PLACE + self.last - self.first + width).astype(np.int32)
+        self.whole = line.stretch(self.first, self.last + width)
 
 
 def _expand(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,214 +132,205 @@ def _expand(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + first[which], which
 
 
+def _key(phrase: np.ndarray, value: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return mix64(phrase.view(np.uint64) + mix64(value.view(np.uint64) ^ (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))
+
+
+def _values(column) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _lines(table, hashes: WordHashes):
+    """(first row, end row, line) of portions of a batch's or table's texts."""
+    text = table.column("text").cast(pa.binary())
+    size = _values(pc.fill_null(pc.binary_length(text), 0)).astype(np.int64)
+    for lo, hi in portions(size, PORTION):
+        yield lo, hi, Line(text.slice(lo, hi - lo).to_pylist(), hashes)
+
+
 def _runs(width: int, gram: int):
     def run(batches):
-        hashes = word_hashes()
+        hashes = WordHashes()
         for batch in batches:
-            blk, phrase, whole = [], [], []
-            for b, text in zip(batch.column("blk").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
-                words = words_of(text)
-                if len(words) >= width:
-                    w = Windows(hashes.of(words), width, gram)
-                    blk.append(np.full(len(w.first), b, np.int32))
-                    phrase.append(w.phrase)
-                    whole.append(w.run_hashes())
-            if blk:
+            blk = _values(batch.column("blk"))
+            for lo, hi, line in _lines(batch, hashes):
+                runs = Runs(line, width, gram)
+                of = blk[lo:hi][np.searchsorted(line.end, runs.first, side="right")]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(blk)), pa.array(np.concatenate(phrase).view(np.int64)), pa.array(np.concatenate(whole).view(np.int64))],
-                    ["blk", "phrase", "whole"],
+                    [pa.array(of), pa.array(runs.phrase.view(np.int64)), pa.array(runs.whole.view(np.int64)), pa.array(runs.place)],
+                    ["blk", "phrase", "value", "place"],
                 )
 
     return run
 
 
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix64(a.view(np.uint64) + mix64(b.view(np.uint64)))
-
-
-def _member(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    if not len(ordered):
-        return np.zeros(len(x), bool)
-    i = np.searchsorted(ordered, x)
-    return ordered[np.minimum(i, len(ordered) - 1)] == x
-
-
-def _values(column: pa.ChunkedArray) -> np.ndarray:
-    return column.combine_chunks().to_numpy(zero_copy_only=False)
+_PASSAGES = "blk int, phrase long, value long, place int"
 
 
 def _take_apart(width: int, gram: int):
-    """Window hashes of runs that must be compared in part; words of phrases this block speaks for."""
+    """The windows of the wanted runs; of a run that recurs as a whole, once, with a weight of two."""
 
     def run(docs: pa.Table, wanted: pa.Table) -> pa.Table:
-        apart = wanted.filter(wanted["emit"])
-        keys = _pair(_values(apart["phrase"]), _values(apart["whole"]))
+        keys = _key(*(_values(wanted[c]) for c in ("phrase", "value", "place")))
         order = np.argsort(keys)
-        keys, weight = keys[order], np.where(_values(apart["full"]), 2, 1)[order].astype(np.int32)
-        leads = np.unique(_values(wanted.filter(wanted["lead"])["phrase"]).view(np.uint64))
-        done: set[int] = set()
-        hashes, out, texts = word_hashes(), [], {}
-        for text in docs["text"].to_pylist() if len(wanted) else ():
-            words = words_of(text)
-            if len(words) < width:
-                continue
-            w = Windows(hashes.of(words), width, gram)
-            for i in np.flatnonzero(_member(w.phrase, leads)):
-                texts.setdefault(int(w.phrase[i]), b" ".join(words[w.at[i] : w.at[i] + gram]))
-            key = _pair(w.phrase, w.run_hashes())
-            hit = np.flatnonzero(_member(key, keys))
-            if len(hit):
-                found = np.searchsorted(keys, key[hit])
-                # a run that recurs as a whole is taken apart once
-                fresh = [j for j, (k, f) in enumerate(zip(key[hit].tolist(), found)) if weight[f] == 1 or not (k in done or done.add(k))]
-                hit, found = hit[fresh], found[fresh]
-                start, which = _expand(w.first[hit], w.last[hit])
-                out.append((w.phrase[hit][which], w.window_hashes(start), weight[found][which]))
-        phrase, window, count = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32))
-        names = np.fromiter(texts, np.uint64, len(texts))
-        none = np.zeros(len(names), np.int64)
-        blk = docs["blk"][0].as_py() if len(docs) else -1
-        return pa.table(
-            {
-                "blk": pa.array(np.full(len(phrase) + len(names), blk, np.int32)),
-                "phrase": pa.array(np.concatenate([phrase, names]).view(np.int64)),
-                "window": pa.array(np.concatenate([window.view(np.int64), none])),
-                "weight": pa.array(np.concatenate([count, none.astype(np.int32)])),
-                "words": pa.array([None] * len(phrase) + list(texts.values()), pa.binary()),
-            }
-        )
+        keys, full = keys[order], _values(wanted["full"]).astype(bool)[order]
+        taken = np.zeros(len(keys), bool)
+        out = []
+        for _, _, line in _lines(docs, WordHashes()) if len(keys) else ():
+            runs = Runs(line, width, gram)
+            key = _key(runs.phrase, runs.whole, runs.place)
+            found = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = np.flatnonzero((keys[found] == key) & ~taken[found])
+            once, pick = np.unique(found[hit], return_index=True)
+            taken[once] = True
+            hit = hit[pick]
+            start, which = _expand(runs.first[hit], runs.last[hit])
+            place = ((runs.at[hit][which] - start) * _PLACE + width).astype(np.int32)
+            out.append((runs.phrase[hit][which].view(np.int64), line.stretch(start, start + width).view(np.int64), place, np.where(full[once], 2, 1)[which].astype(np.int32)))
+        phrase, value, place, weight = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, t) for t in ("i8", "i8", "i4", "i4"))
+        blk = np.full(len(phrase), docs["blk"][0].as_py() if len(docs) else -1, np.int32)
+        return pa.table({"blk": blk, "phrase": phrase, "value": value, "place": place, "weight": weight})
 
     return run
 
 
-class Phrases:
-    """Automaton over the numbers of the words that phrases are made of.
-
-    The library looks a symbol up among a node's children one by one, so a word
-    is two symbols from small alphabets of their own; any other word is two
-    symbols that no phrase has."""
-
-    def __init__(self, phrases: list[bytes], hashes: WordHashes):
-        split = [p.split(b" ") for p in phrases]
-        h = hashes.of([w for p in split for w in p])
-        self.known = np.unique(h)
-        self.base = int(np.ceil(np.sqrt(len(self.known) + 1))) + 1
-        self.machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        if phrases:
-            symbols = self._symbols(h)
-            at = 0
-            for p in split:
-                self.machine.add_word(symbols[2 * at : 2 * (at + len(p))])
-                at += len(p)
-            self.machine.make_automaton()
-
-    def _symbols(self, h: np.ndarray) -> str:
-        i = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
-        i = np.where(self.known[i] == h, i, len(self.known))
-        two = np.empty((len(h), 2), "<u4")
-        two[:, 0], two[:, 1] = i // self.base + self.base + 1, i % self.base + 1
-        return two.tobytes().decode("utf-32-le")
-
-    def starts(self, h: np.ndarray, gram: int) -> list[int]:
-        """Word numbers at which a phrase begins."""
-        if not len(self.known) or not len(h):
-            return []
-        return [(end - 1) // 2 - gram + 1 for end, _ in self.machine.iter(self._symbols(h))]
-
-
-def _locate(width: int, gram: int, carry: list[str]):
+class Passages:
+    """Confirmed passages behind an automaton over their phrases."""
+
+    def __init__(self, phrase: np.ndarray, value: np.ndarray, place: np.ndarray, gram: int = GRAM):
+        self.gram = gram
+        self.keys = np.unique(_key(phrase, value, place))
+        self.phrases, of = np.unique(phrase.view(np.uint64), return_inverse=True)
+        # the distinct places of each phrase's passages, phrase by phrase
+        pairs = np.unique(of.astype(np.int64) << 32 | place.astype(np.int64))
+        self.place = (pairs & 0xFFFFFFFF).astype(np.int64)
+        self.first = np.searchsorted(pairs, np.arange(len(self.phrases) + 1, dtype=np.int64) << 32)
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        shift = np.arange(gram - 1, -1, -1, dtype=np.uint64) * np.uint64(CODE)
+        symbols = _symbols((self.phrases[:, None] >> shift & np.uint64((1 << CODE) - 1)).ravel())
+        for i in range(len(self.phrases)):
+            self.machine.add_word(symbols[2 * gram * i : 2 * gram * (i + 1)], i)
+        self.machine.make_automaton()
+
+    def hits(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Word number and phrase of every place where a phrase begins."""
+        if not len(self.phrases) or not len(code):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        found = np.array(list(self.machine.iter(_symbols(code))), np.int64).reshape(-1, 2)
+        return (found[:, 0] + 1) // 2 - self.gram, found[:, 1]
+
+    def covered(self, line: Line) -> np.ndarray:
+        """Whether a word of the line lies in a confirmed passage."""
+        edge = np.zeros(len(line.h) + 1, np.int64)
+        at, phrase = self.hits(line.codes())
+        doc = np.searchsorted(line.end, at, side="right")
+        for lo in range(0, len(at), 1 << 15):
+            some = slice(lo, lo + (1 << 15))
+            entry, which = _expand(self.first[phrase[some]], self.first[phrase[some] + 1] - 1)
+            place, which = self.place[entry], which + lo
+            start = at[which] - place // _PLACE
+            stop = start + place % _PLACE
+            inside = (start >= line.start[doc[which]]) & (stop <= line.end[doc[which]])
+            start, stop, place, which = start[inside], stop[inside], place[inside], which[inside]
+            key = _key(self.phrases[phrase[which]], line.stretch(start, stop), place)
+            same = self.keys[np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)] == key
+            np.add.at(edge, start[same], 1)
+            np.add.at(edge, stop[same], -1)
+        return np.cumsum(edge[:-1]) > 0
+
+
+def _symbols(code: np.ndarray) -> str:
+    """Two symbols for each code, from alphabets of their own, so that hits begin at words."""
+    half = np.uint64(CODE // 2)
+    two = np.empty((len(code), 2), "<u4")
+    two[:, 0], two[:, 1] = (code >> half) + np.uint64(1), (code & np.uint64((1 << CODE // 2) - 1)) + np.uint64(1 + (1 << CODE // 2))
+    return two.tobytes().decode("utf-32-le")
+
+
+def _locate(gram: int, carry: list[str]):
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
-        hashes = word_hashes()
-        part = _values(known["part"]).astype(bool)
-        keys = _pair(_values(known["phrase"]), _values(known["value"]))
-        whole, windows = np.unique(keys[~part]), np.unique(keys[part])
-        phrases = Phrases(known["words"].unique().to_pylist(), hashes)
-        out = []
-        for text in docs["text"].to_pylist():
-            words = words_of(text)
-            n, spans = len(words), []
-            if n >= width:
-                h = hashes.of(words)
-                if hits := phrases.starts(h, gram):
-                    located = np.zeros(n, bool)
-                    located[hits] = True
-                    w = Windows(h, width, gram)
-                    near = np.flatnonzero(located[w.at])
-                    full = _member(_pair(w.phrase[near], w.run_hashes()[near]), whole)
-                    start, which = _expand(w.first[near[~full]], w.last[near[~full]])
-                    hit = _member(_pair(w.phrase[near[~full]][which], w.window_hashes(start)), windows)
-                    edge = np.zeros(n + 1, np.int64)
-                    np.add.at(edge, w.first[near[full]], 1)
-                    np.add.at(edge, w.last[near[full]] + width, -1)
-                    np.add.at(edge, start[hit], 1)
-                    np.add.at(edge, start[hit] + width, -1)
-                    gone = np.cumsum(edge[:-1]) > 0
-                    change = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
-                    spans = change.reshape(-1, 2).tolist()
-            kept, at = [], 0
-            for a, b in [*spans, (n, n)]:
-                kept += words[at:a]
-                at = b
-            out.append((n, sum(b - a for a, b in spans), b" ".join(kept).decode(), spans))
-        n, gone, kept, spans = zip(*out) if out else ((), (), (), ())
-        done = [pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.list_(pa.int32())))]
+        passages = Passages(*(_values(known[c]) for c in ("phrase", "value", "place")), gram)
+        counts, gone, kept, spans = [], [], [], []
+        for _, _, line in _lines(docs, WordHashes()):
+            out = passages.covered(line)
+            change = np.flatnonzero(np.diff(out.astype(np.int8), prepend=0, append=0)).tolist()
+            ranges = list(zip(change[::2], change[1::2]))
+            k = 0
+            for start, end in zip(line.start.tolist(), line.end.tolist()):
+                at, left, removed = start, [], []
+                # a range that reaches into the next document is cut at this one's end
+                while k < len(ranges) and ranges[k][0] < end:
+                    a, b = max(ranges[k][0], start), min(ranges[k][1], end)
+                    left += line.words[at:a]
+                    removed.append([a - start, b - start])
+                    at = b
+                    if ranges[k][1] > end:
+                        break
+                    k += 1
+                left += line.words[at:end]
+                counts.append(end - start)
+                gone.append(end - start - len(left))
+                kept.append(b" ".join(left))
+                spans.append(removed)
+        done = [pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, pa.list_(pa.list_(pa.int32())))]
         return pa.table([*map(docs.column, carry), *done], [*carry, "n_words", "n_removed", "kept_text", "spans"])
 
     return run
 
 
+def confirmed(dealt: DataFrame, scratch: Scratch, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """dealt: blk, text -> passages that recur anywhere (phrase, value, place), for each block that can hold them."""
+    passage = ["phrase", "value", "place"]
+    runs = scratch.keep(dealt.mapInArrow(_runs(width, gram), _PASSAGES), "runs").withColumn("part", F.col("blk") % SALT)
+    part = runs.groupBy("phrase", "part").agg(F.count("*").alias("c"))
+    often = part.groupBy("phrase").agg(F.sum("c").alias("c")).filter("c > 1").select("phrase")
+    again = scratch.keep(
+        runs.join(part.select("phrase", "part").join(often, "phrase"), ["phrase", "part"])
+        .groupBy("phrase", "part", "blk", "value", "place")
+        .agg(F.count("*").alias("c"))
+        .select("blk", *passage, "c"),
+        "again",
+    )
+    scratch.drop("runs")
+    total = scratch.keep(again.groupBy(*passage).agg(F.sum("c").alias("n"), F.min("blk").alias("blk")), "total")
+    routed = scratch.keep(again.join(total.select(*passage, "n"), passage).select("blk", *passage, F.expr("n > 1").alias("full")), "routed")
+    scratch.drop("again")
+    # a run that recurs is opened in one block, and only where another run shares its phrase in part
+    lone = total.filter("n = 1").select("phrase").distinct()
+    shared = total.filter("n > 1").join(lone, "phrase").select("blk", *passage, F.lit(True).alias("full"))
+    opened = scratch.keep(
+        dealt.groupBy("blk").cogroup(routed.filter("not full").unionByName(shared).groupBy("blk")).applyInArrow(_take_apart(width, gram), f"{_PASSAGES}, weight int"),
+        "opened",
+    )
+    twice = opened.groupBy(*passage).agg(F.sum("weight").alias("n")).filter("n > 1").select(*passage)
+    parts = opened.filter("weight = 1").select("blk", *passage).distinct().join(twice, passage)
+    return routed.filter("full").select("blk", *passage).unionByName(parts.select("blk", *passage))
+
+
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, carry: list[str] | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_text (kept words
     joined by one space) and spans (removed word ranges, end exclusive).
 
     With ``carry``, the named columns come along, and text among them is the
     kept text where something was removed and the input's text elsewhere."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "phrases")
-    blocks = block_count(docs)
-    extra = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry or ["doc_id"])]
-    dealt = docs.select(
-        *extra,
-        F.col("text").cast("binary").alias("text"),
-        F.expr(f"int(pmod(xxhash64(doc_id, octet_length(text)), {blocks}))").alias("blk"),
-    )
-    counted = dealt.select("blk", "text").mapInArrow(_runs(width, gram), "blk int, phrase long, whole long").groupBy("phrase", "whole", "blk").agg(F.count("*").alias("c"))
-    same, anchor = W.partitionBy("phrase", "whole"), W.partitionBy("phrase")
-    recurring = scratch.keep(
-        counted.withColumn("total", F.sum("c").over(anchor))
-        .filter("total > 1")
-        .withColumn("n", F.sum("c").over(same))
-        .withColumn("rep", F.min("blk").over(same))
-        .withColumn("apart", F.max(F.expr("n = 1")).over(anchor))
-        .withColumn("lead", F.col("blk") == F.min("blk").over(anchor))
-        .selectExpr("blk", "phrase", "whole", "n > 1 as full", "apart and (n = 1 or blk = rep) as emit", "lead"),
-        "recurring",
-    )
-    opened = scratch.keep(
-        dealt.select("blk", "text").groupBy("blk")
-        .cogroup(recurring.filter("emit or lead").groupBy("blk"))
-        .applyInArrow(_take_apart(width, gram), "blk int, phrase long, window long, weight int, words binary"),
-        "opened",
-    )
-    phrases = opened.filter("words is not null").groupBy("phrase").agg(F.min("words").alias("words"))
-    parts = (
-        opened.filter("words is null")
-        .groupBy("phrase", "window")
-        .agg(F.sum("weight").alias("n"), F.collect_set(F.expr("if(weight = 1, blk, null)")).alias("blks"))
-        .filter("n > 1")
-        .select(F.explode("blks").alias("blk"), "phrase", F.col("window").alias("value"), F.lit(True).alias("part"))
-    )
-    wholes = recurring.filter("full").select("blk", "phrase", F.col("whole").alias("value"), F.lit(False).alias("part"))
-    known = scratch.keep(wholes.unionByName(parts).join(phrases, "phrase"), "known")
-    scratch.drop("recurring", "opened")
-    held = [f"c{i}" for i in range(len(extra))]
-    types = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry or ["doc_id"]))
+    if not (0 < gram <= width and gram * CODE <= 63 and 2 * width < _PLACE):
+        raise ValueError("a phrase must fit a window, its code a long, and a run its place")
+    scratch = Scratch(docs.sparkSession, "phrases")
+    names = carry or ["doc_id"]
+    held = [f"c{i}" for i in range(len(names))]
+    source = lean(docs).select(*(F.col(c).alias(h) for c, h in zip(names, held)), F.col("text").cast("binary").alias("text"))
+    # row numbers deal repeated rows apart; written once, they stay as they are when a task is repeated
+    dealt = scratch.keep(source.withColumn("blk", F.expr(f"int(pmod(xxhash64(monotonically_increasing_id()), {block_count(docs)}))")), "dealt")
+    known = confirmed(dealt.select("blk", "text"), scratch, width, gram)
+    types = ", ".join(f"{h} {docs.schema[c].dataType.simpleString()}" for c, h in zip(names, held))
     found = (
         dealt.groupBy("blk")
         .cogroup(known.groupBy("blk"))
-        .applyInArrow(_locate(width, gram, held), f"{types}, n_words long, n_removed long, kept_text string, spans array<array<int>>")
+        .applyInArrow(_locate(gram, held), f"{types}, n_words long, n_removed long, kept_text string, spans array<array<int>>")
     )
     if not carry:
         return found.withColumnRenamed("c0", "doc_id")
-    text = [F.expr(f"if(n_removed > 0, kept_text, c{i})").alias(c) if c == "text" else F.col(f"c{i}").alias(c) for i, c in enumerate(carry)]
+    text = [F.expr(f"if(n_removed > 0, kept_text, {h})").alias(c) if c == "text" else F.col(h).alias(c) for c, h in zip(names, held)]
     return found.select(*text, "n_words", "n_removed", "spans")

@@ -6,8 +6,8 @@ import re
 import pytest
 
 from persistra.llm.minhash_dedup import near_duplicates
-from persistra.llm.phrase_dedup import Phrases, remove_repeats, sliding_argmin
-from persistra.llm.base import WordHashes
+from persistra.llm.phrase_dedup import Line, Passages, Runs, remove_repeats
+from persistra.llm.base import WordHashes, portions
 
 LOWER = {i: chr(i + 32) for i in range(65, 91)}
 SCHEMA = "doc_id long, text string, blk string, node string, sig string"
@@ -125,18 +125,67 @@ def test_recurring_passages_of_nothing(spark):
     assert remove_repeats(frame(spark, [])).collect() == []
 
 
-def test_sliding_argmin_is_leftmost():
-    import numpy as np
+def line_of(texts):
+    return Line([t.encode() for t in texts], WordHashes())
+
 
+def test_runs_partition_the_windows_and_keep_their_anchor():
     rng = random.Random(0)
-    for _ in range(50):
-        h = np.array([rng.randrange(5) for _ in range(rng.randint(30, 60))], np.uint64)
-        w = rng.randint(1, 30)
-        assert sliding_argmin(h, w).tolist() == [s + int(np.argmin(h[s : s + w])) for s in range(len(h) - w + 1)]
+    texts = [" ".join(rng.choice("abc") for _ in range(n)) for n in (0, 3, 34, 35, 36, 90, 200)]
+    line = line_of(texts)
+    runs = Runs(line, 35, 6)
+    windows = [s for a, b in zip(runs.first, runs.last) for s in range(a, b + 1)]
+    assert windows == [s for a, b in zip(line.start, line.end) for s in range(a, b - 34)]
+    assert all(first <= at and last + 35 >= at + 6 and at - last >= 0 for first, last, at in zip(runs.first, runs.last, runs.at))
+    assert (runs.place // 1024 == runs.at - runs.first).all() and (runs.place % 1024 == runs.last - runs.first + 35).all()
+
+
+class Deaf(Passages):
+    def hits(self, code):
+        return super().hits(code[:0])
+
+
+class Everywhere(Passages):
+    def hits(self, code):
+        import numpy as np
+
+        return np.arange(len(code)), np.zeros(len(code), np.int64)
+
 
+def test_the_automaton_alone_says_where_passages_are():
+    """Passages of one text, looked for in others: a machine that finds nothing, or anything anywhere, gives another result."""
+    rng = random.Random(8)
+    known = [" ".join("p%d" % rng.randrange(10**6) for _ in range(80)) for _ in range(3)]
+    runs = Runs(line_of(known), 35, 6)
+    texts = ["x y " + known[1] + " z", "q " * 50, known[2][len("p") : 200], known[0] + " " + known[2]]
+    line = line_of(texts)
+    want = [False] * 2 + [True] * 80 + [False] + [False] * 50 + [False] * len(texts[2].split()) + [True] * 160
+    arguments = (runs.phrase, runs.whole, runs.place)
+    assert Passages(*arguments).covered(line).tolist() == want
+    assert not Deaf(*arguments).covered(line).any()
+    assert Everywhere(*arguments).covered(line).tolist() != want
+
+
+def test_neighbouring_documents_keep_their_own_ranges(spark):
+    """Documents that are removed whole lie next to each other in a portion."""
+    text = " ".join(f"k{i}" for i in range(40))
+    rows = [(i, text) for i in range(30)] + [(99, "t " + text + " u")]
+    got = {r.doc_id: (r.n_removed, r.kept_text, [list(x) for x in r.spans]) for r in remove_repeats(frame(spark, rows)).collect()}
+    assert got == {**{i: (40, "", [[0, 40]]) for i in range(30)}, 99: (40, "t u", [[1, 41]])}
+
+
+def test_a_long_text_is_read_whole(spark):
+    rng = random.Random(2)
+    passage = " ".join("p%d" % rng.randrange(10**6) for _ in range(40))
+    long = " ".join("w%d" % rng.randrange(10**9) for _ in range(300_000))
+    got = {r.doc_id: r.n_removed for r in remove_repeats(frame(spark, [(1, long + " " + passage), (2, passage), (3, long[:100])])).collect()}
+    assert got == {1: 40, 2: 40, 3: 0}
+
+
+def test_portions_cover_all_rows():
+    import numpy as np
 
-def test_phrases_are_found_at_word_places():
-    hashes = WordHashes()
-    found = Phrases([b"a b", b"b c", b"c a"], hashes).starts(hashes.of(b"x a b c a zz a b".split()), 2)
-    assert sorted(found) == [1, 2, 3, 6]
-    assert Phrases([], hashes).starts(hashes.of([b"a"]), 2) == []
+    assert portions(np.array([], np.int64), 10) == []
+    sizes = np.array([3, 50, 0, 0, 9, 9, 1])
+    cut = portions(sizes, 10)
+    assert [lo for lo, _ in cut] == [0] + [hi for _, hi in cut][:-1] and cut[-1][1] == 7
