@@ -7,10 +7,14 @@ similarity and filters, and full sets confirm every link.
 
 Completeness.  For a pair with similarity 3/4 the number of the union's k = 32
 least values that lie in both sets is binomial(32, 3/4); it is under 9 with
-probability 5e-8.  So a sketch is listed under its ``s - ceil(9 s / 32) + 1``
-values that are rarest in the corpus: two sketches that share 9 values then
-share a listed one (prefix filtering), and values that very many documents
-hold are listed only for documents made of little else.
+probability 5e-8 (the one way in which a link can be missed).  So a sketch is
+listed under its ``k - 9 + 1`` values that are rarest in the corpus: two
+sketches that share 9 values then share a listed one (prefix filtering).  A set
+of s <= k values is its own sketch, of which a partner of similarity 3/4 must
+hold ``min(ceil(3 s / 4), k - floor(s / 3))`` values for certain, so it is
+listed under few and nothing of it is left to chance.  Values that very many
+documents hold are listed only for documents made of little else.  Shingles
+are compared by 63-bit hashes, never word by word.
 
 Skew.  Equal sets are collapsed first (grouped minimum, combined before the
 shuffle).  A list is never expanded into its pairs.  Each member is compared
@@ -19,13 +23,16 @@ becomes one component.  Then only lists whose members still
 lie in several components are compared, members outside the list's largest
 component against all, each pair in the first list that both are in; long lists
 block against block, with full sets, inside tasks that emit no more links than
-it takes to join the components.
+it takes to join the components.  A block holds about ``BLOCK`` members and
+``BLOCK_BYTES`` of their sets, and a worker has two blocks at a time.
 
 Defined cases.  Null or word-less text: empty set, component of its own.
 Fewer words than a shingle: the whole sequence is the one element.  Equal
 texts and repeated rows share a set and therefore a component.  A row with a
 null doc_id is linked with nothing; its component_id is null and kept is true.
-Extra columns of the input are ignored.
+A text of any length is one row; its set must fit a worker several times over.
+An empty table gives an empty result.  Extra columns of the input are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from persistra.llm.base import Scratch, WordHashes, connected_components, mix64, word_hashes, words_of
+from persistra.llm.base import Scratch, WordHashes, connected_components, lean, mix64, words_of
 
 K = 32
 #: least overlap of two sketches of K values that counts as possible
@@ -44,8 +51,8 @@ LEAST = 9
 WIDTH = 5
 #: lists up to this length are compared pair by pair, longer ones in blocks
 SHORT_LIST = 48
-BLOCK = 256
-COLUMNS = 1 << 14
+BLOCK, BLOCK_BYTES = 256, 1 << 20
+COLUMNS = 1 << 13
 #: leaders drawn from each list besides the most central member
 LEADERS = 2
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -68,11 +75,11 @@ def shingle_set(text: bytes | None, hashes: WordHashes, width: int = WIDTH) -> n
 
 def _sketches(width: int, k: int, carry: list[str]):
     def run(batches):
-        hashes = word_hashes()
+        hashes = WordHashes()
         for batch in batches:
             n, sig, sketch = [], [], []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                s = shingle_set(text, hashes, width)
+            for text in batch.column("text").cast(pa.binary()):
+                s = shingle_set(text.as_py(), hashes, width)
                 n.append(len(s))
                 sig.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sketch.append(s[:k])
@@ -88,7 +95,7 @@ def _sets(width: int):
     """Full sets of the documents that stand for a node."""
 
     def run(batches):
-        hashes = word_hashes()
+        hashes = WordHashes()
         for batch in batches:
             node, sets = [], []
             for nid, sig, text in zip(batch.column("node").to_pylist(), batch.column("sig").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
@@ -142,7 +149,8 @@ def _block_links(percent: int):
     def run(batches):
         for batch in batches:
             a, b = [], []
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 xs, ys = _first_meetings(row["v"], row["xs"], row["ys"])
                 if not xs:
                     continue
@@ -205,7 +213,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH, carr
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
-    src = docs.select("doc_id", "text")
+    src = lean(docs).select("doc_id", "text")
     extra = [*carry, "label"] if carry is not None else []
     ids = docs.schema["doc_id"].dataType.simpleString()
     carried = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry or [])
@@ -219,19 +227,20 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH, carr
         .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
-    held = nodes.select("node", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
+    held = nodes.select("node", "n_shingles", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
     often = held.groupBy("v").agg(F.count("*").alias("c")).filter("c > 1")
     prefix = scratch.keep(
         held.join(often, "v")
-        .groupBy("node", "s")
+        .groupBy("node", "n_shingles", "s")
         .agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("vs"))
         # values that nobody else holds are the rarest and fill the prefix first
-        .withColumn("take", F.expr(f"s - ceil({LEAST} * s / {K}) + 1 - (s - size(vs))"))
+        .withColumn("shared", F.expr(f"if(n_shingles > {K}, {LEAST}, least(ceil({percent} * s / 100), {K} - floor(s * {100 - percent} / {percent})))"))
+        .withColumn("take", F.expr("s - shared + 1 - (s - size(vs))"))
         .filter("take > 0")
-        .select("node", F.expr("aggregate(vs, 0L, (t, x) -> t + x.c)").alias("central"), F.expr("slice(vs.v, 1, int(take))").alias("listed")),
+        .select("node", "n_shingles", F.expr("aggregate(vs, 0L, (t, x) -> t + x.c)").alias("central"), F.expr("slice(vs.v, 1, int(take))").alias("listed")),
         "prefix",
     )
-    lists = prefix.select("node", "central", F.explode("listed").alias("v"))
+    lists = prefix.select("node", "n_shingles", "central", F.explode("listed").alias("v"))
     listed = prefix.select("node").join(nodes.select("node", "rep", "sig"), "node")
     full = scratch.keep(
         src.join(listed.withColumnRenamed("rep", "doc_id"), "doc_id")
@@ -257,15 +266,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH, carr
 
     # what still lies in several components of one list: members outside the list's largest against all
     placed = (
-        lists.select("v", "node")
+        lists.select("v", "node", "n_shingles")
         .join(comps.withColumnRenamed("label", "comp"), "node", "left")
         .withColumn("comp", F.coalesce("comp", "node"))
     )
     largest = (
         placed.groupBy("v", "comp")
-        .agg(F.count("*").alias("c"))
+        .agg(F.count("*").alias("c"), F.sum(8 * F.col("n_shingles")).alias("bytes"))
         .groupBy("v")
-        .agg(F.sum("c").alias("c"), F.count("*").alias("parts"), F.max_by("comp", F.struct("c", "comp")).alias("main"))
+        .agg(F.sum("c").alias("c"), F.sum("bytes").alias("bytes"), F.count("*").alias("parts"), F.max_by("comp", F.struct("c", "comp")).alias("main"))
         .filter("parts > 1")
     )
     rest = scratch.keep(placed.join(largest, "v").drop("parts"), "rest")
@@ -283,11 +292,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH, carr
         rest.filter(f"c > {SHORT_LIST}")
         .join(prefix.select("node", "listed"), "node")
         .join(full, "node")
-        .withColumn("blk", F.expr(f"int(pmod(xxhash64(node), ceil(c / {BLOCK})))"))
+        .withColumn("blk", F.expr(f"int(pmod(xxhash64(node), ceil(greatest(c / {BLOCK}, bytes / {BLOCK_BYTES}))))"))
     )
-    held = F.collect_list(F.struct("node", "comp", "listed", "full"))
-    left = blocked.filter("comp <> main").groupBy("v", "blk").agg(held.alias("xs")).select("v", "xs")
-    right = blocked.groupBy("v", "blk").agg(held.alias("ys")).select("v", "ys")
+    members = F.collect_list(F.struct("node", "comp", "listed", "full"))
+    left = blocked.filter("comp <> main").groupBy("v", "blk").agg(members.alias("xs")).select("v", "xs")
+    right = blocked.groupBy("v", "blk").agg(members.alias("ys")).select("v", "ys")
     long_links = left.join(right, "v").select("v", "xs", "ys").mapInArrow(_block_links(percent), "a long, b long")
     more = scratch.keep(confirmed(close).unionByName(long_links), "edges")
     if more.limit(1).count():
