@@ -92,10 +92,53 @@ QUERIES = {
 }
 
 
+#: windows are compared word by word: words hold no space, so a joined window is the window
+PHRASE_ORACLE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), win AS (
+  SELECT r, s, array_to_string(ws[s : s + 34], ' ') AS k FROM (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS s FROM d)
+), again AS (
+  SELECT r, s FROM (SELECT r, s, count(*) OVER (PARTITION BY k) AS c FROM win) WHERE c > 1
+), gone AS (
+  SELECT DISTINCT r, unnest(range(s, s + 35)) AS i FROM again
+), word AS (
+  SELECT r, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM d
+), kept AS (
+  SELECT word.r, string_agg(w, ' ' ORDER BY i) AS t, count(*) AS n FROM word ANTI JOIN gone USING (r, i) GROUP BY word.r
+)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.r = kept.r
+"""
+
+#: shingles are compared word by word, all pairs that share one
+NEAR_ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), s AS (
+  SELECT DISTINCT r, array_to_string(ws[i : i + 4], ' ') AS g
+  FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM d WHERE len(ws) > 0)
+), n AS (
+  SELECT r, count(*) AS n FROM s GROUP BY r
+), pairs AS (
+  SELECT a.r AS a, b.r AS b, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY 1, 2
+), link AS (
+  SELECT a, b FROM pairs JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * m >= 75 * (x.n + y.n - m)
+), reach(a, b) AS (
+  SELECT r, r FROM d UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b
+)
+SELECT d.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(e.doc_id) AS component_id, d.doc_id = min(e.doc_id) AS kept
+FROM d JOIN reach ON reach.a = d.r JOIN d e ON e.r = reach.b LEFT JOIN n ON n.r = d.r
+GROUP BY d.r, d.doc_id
+"""
+
+
 def _oracles() -> dict[str, str]:
     from persistra.llm.url_filter import ORACLE
 
-    return {"op9_url_filter": ORACLE}
+    return {"op6_phrase_dedup": PHRASE_ORACLE, "op8_minhash_dedup": NEAR_ORACLE, "op9_url_filter": ORACLE}
 
 
 ORACLES: dict[str, str] = _oracles()

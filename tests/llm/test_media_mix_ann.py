@@ -160,12 +160,45 @@ def test_search_misses_no_neighbour_in_many_lists(spark):
     assert got == {q: ids for q, ids, _ in exact(dict(enumerate(x)), 10, 200)}
 
 
+@pytest.mark.parametrize("kind, size", [("float", 1.0), ("double", 1.0), ("double", 1e200), ("double", 1e-150)])
+def test_search_keeps_rows_and_numbers_as_they_are(spark, kind, size):
+    """Rows that share a vec_id, equal rows, and numbers that single precision has not."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 6)) * size
+    ids = [i if i < 350 else i - 350 for i in range(400)]
+    x[399] = x[3]
+    if kind == "float":
+        x = x.astype(np.float32).astype(np.float64)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], f"vec_id long, embedding array<{kind}>")
+    want = []
+    for q in range(400):
+        if ids[q] % 100 == 0:
+            far = size * np.sqrt((((x - x[q]) / size) ** 2).sum(1))
+            want += sorted((far[k], ids[k]) for k in range(400) if k != q)[:10]
+    got = [(r.score, r.vec_id) for r in ann.search(df).collect()]
+    assert [i for _, i in sorted(got)] == [i for _, i in sorted(want)] and np.allclose(sorted(s for s, _ in got), sorted(s for s, _ in want), rtol=1e-12)
+
+
+def test_registered_search_on_the_test_vectors(spark):
+    """The registered setting against brute force, and the share of rows that exact distances are taken of."""
+    import pyarrow as pa
+
+    base = np.random.default_rng(9).normal(size=(60, 32))
+    x = (base[np.arange(6000) % 60] + 0.15 * np.random.default_rng(10).normal(size=(6000, 32))).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float32()))}))
+    got = {}
+    for r in ann.search(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = {q: ids for q, ids, _ in exact(dict(enumerate(x)), 10, 100)}
+    assert np.mean([len(set(got[q]) & set(want[q])) / 10 for q in want]) >= 0.9
+
+
 def test_search_odd_rows(spark):
     v = [1.0, 2.0, 3.0]
     rows = [(0, v), (1, v), (2, v), (3, [1.0, 2.0, 4.0]), (4, None), (5, []), (6, [0.0, 0.0, 0.0]), (7, [1.0, None, 2.0]), (8, [float("nan"), 1.0, 1.0]), (9, [float("inf"), 1.0, 1.0]), (10, [1.0]), (None, v), (3, [1.0, 2.0, 4.0])]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, lst int")
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(df).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 1, 0.0), (0, 2, 2, 0.0), (0, 3, 3, 1.0)]
+    assert got == [(0, 1, 1, 0.0), (0, 2, 2, 0.0), (0, 3, 3, 1.0), (0, 4, 3, 1.0)]
     assert ann.search(df.limit(0)).collect() == []
     assert ann.search(df.filter("vec_id = 0")).collect() == []
 
@@ -244,3 +277,27 @@ def test_pipeline_stages_match_brute_force(spark, tmp_path):
     five = stages[4](spark, spark.createDataFrame(four, df.schema), "").collect()
     text = {r.doc_id: r.text for r in four}
     assert len(five) == len(four) and all(r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest() for r in five)
+
+
+def test_broken_media_gives_what_is_whole():
+    from persistra.llm import matroska as m
+
+    rng = random.Random(1)
+    whole = m.write(m.padded(bytes(rng.randrange(256) for _ in range(6000))))
+    audio = m.element(m.AUDIO, m.element(m.FREQUENCY, b"") + m.element(m.CHANNELS, b"\x01"))
+    empty_float = m.element(m.SEGMENT, m.element(m.TRACKS, m.element(m.TRACK, m.element(m.NUMBER, b"\x01") + audio)))
+    assert m.parse(empty_float).tracks[1][m.FREQUENCY] == 0.0
+    deep = b""
+    for _ in range(3000):
+        deep = m.element(m.GROUP, deep)
+    assert m.parse(m.element(m.SEGMENT, m.element(m.CLUSTER, deep))).packets == []
+    everything = m.parse(whole).packets
+    for n in range(0, len(whole), 97):
+        some = m.parse(whole[:n]).packets
+        assert some == everything[: len(some)]
+    for _ in range(300):
+        bad = bytearray(whole)
+        for _ in range(rng.randint(1, 5)):
+            bad[rng.randrange(len(bad))] = rng.randrange(256)
+        assert all(0 <= p.start and p.start + p.size <= len(bad) for p in m.parse(bytes(bad)).packets)
+    assert m.parse(b"").packets == [] == m.parse(b"\x00" * 50).packets

@@ -18,7 +18,7 @@ def random_text(rng):
 
 def test_tree_encoding_equals_the_library():
     path = bpe.default_vocabulary()
-    small, usual = bpe.TreeEncoder(path, long=40, leaf=16), bpe.TreeEncoder(path)
+    small, usual = bpe.TreeEncoder(path, leaf=16), bpe.TreeEncoder(path)
     rng = random.Random(1)
     texts = [random_text(rng) for _ in range(400)] + ["", "x" * 20000, "ab" * 9000, " " * 5000 + "a" + "\n" * 9000, "".join(rng.choices("etaoinshrdlu", k=9000))]
     for coder in (small, usual):
@@ -27,6 +27,23 @@ def test_tree_encoding_equals_the_library():
             assert coder.decode([ids])[0] == usual.tok.decode(ids.tolist(), skip_special_tokens=False)
 
 
+def test_long_documents_are_joined_and_equal_the_library():
+    """Whole documents of the test tables, at the registered leaf: each of more than a leaf takes joins."""
+    import duckdb
+
+    texts = [t or "" for (t,) in duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    coder = bpe.TreeEncoder(bpe.default_vocabulary())
+    leaves = [len(coder._halved(t)) for t in texts]
+    ids = coder.encode(texts)
+    assert coder.joins == sum(leaves) - len(texts) > 500
+    assert all(n > 1 for n, t in zip(leaves, texts) if len(t) > bpe.LEAF)
+    want = coder.tok.encode_batch_fast(texts, add_special_tokens=False)
+    assert [x.tolist() for x in ids] == [w.ids for w in want]
+    # without the joins the leaves' tokens would not do
+    plain = [sum((p.tolist() for p in coder._whole(coder._halved(t))), []) for t in texts]
+    assert sum(a != b.ids for a, b in zip(plain, want)) > 100
+
+
 def test_bpe_rows(spark):
     rows = [(1, "Hello world", 5), (2, None, 5), (3, "", None), (None, "é<|endoftext|>", 1), (1, "Hello world", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids long")
@@ -44,6 +61,8 @@ def test_language_of_sample(spark):
     rows = language_id.identify(docs, model, "doc_id", "lang").filter(language_id.held_out()).select("lang", "lang_pred", "score").collect()
     assert len(rows) > 150 and sum(r.lang == r.lang_pred for r in rows) >= 0.98 * len(rows)
     assert all(0 <= r.score <= 1 for r in rows)
+    for no_letter in ("\u00b2", "\u00bd 12", "\u2460\u2461", "\u0663", "_ $"):
+        assert model.predict(no_letter) == ("und", 0.0)
     assert model.predict(None) == model.predict("") == model.predict("12 $$ 3") == ("und", 0.0)
     assert model.predict("ab " * 700000)[0] in model.langs
 
@@ -156,6 +175,59 @@ def test_small_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+def brute_ratios(found):
+    """The ratios again, path by path and block by block."""
+    paths = [e.path for e, _ in found]
+    marks = lambda t: sum(t.count(c) for c in ".,;:!?\u2026\u3002\uff0c\u3001\uff1b\uff1a\uff01\uff1f\u00a1\u00bf")
+    mean = lambda f, p: sum(f(t) for e, t in found if e.path == p) / paths.count(p)
+    length, punctuation = [mean(len, p) for p in paths], [mean(marks, p) for p in paths]
+    near = lambda x, i: (x[i - 1] if i else 0) / 4 + x[i] / 2 + (x[i + 1] if i + 1 < len(x) else 0) / 4
+    smooth = [near(length, i) * (1 + near(punctuation, i)) for i in range(len(paths))]
+    return {p: max(s for s, q in zip(smooth, paths) if q == p) for p in set(paths)}
+
+
+def plain_page(rng):
+    """Content in a plain div; links, a teaser list and a line of numbers around it, none of them named."""
+    words = lambda n: " ".join("w%d" % rng.randrange(99) for _ in range(n))
+    para = lambda: ", ".join(words(rng.randint(5, 12)) for _ in range(rng.randint(2, 6))) + "."
+    paras = [para() for _ in range(rng.randint(3, 9))]
+    links = "".join(f"<li>{words(2)}" for _ in range(rng.randint(3, 8)))
+    teasers = "".join(f"<div class=box><span>{words(3)}</span></div>" for _ in range(rng.randint(2, 6)))
+    page = f"<body><div class=top><ul>{links}</ul></div><div class=col>{teasers}</div><div class=text><h2>Head</h2>{''.join(f'<p>{p}</p>' for p in paras)}</div><div class=end><span>{words(4)}</span></div></body>"
+    return page, ["Head", *paras]
+
+
+def test_ratios_choose_content_on_plain_pages():
+    rng = random.Random(6)
+    for _ in range(60):
+        page, want = plain_page(rng)
+        found = html_text.blocks_of(page)
+        fused, _ = html_text.path_ratios(found)
+        brute = brute_ratios(found)
+        assert fused.keys() == brute.keys() and all(abs(fused[p] - brute[p]) < 1e-9 * brute[p] for p in brute)
+        assert html_text.content(found) == want
+        assert html_text.content(found, threshold=0) == [t for _, t in found] != want
+
+
+def test_doubtful_words_are_settled_by_the_ratios():
+    para = "Some words, and more. Then others, too."
+    page = f"<article><h1>T</h1><p>{para}</p><p>{para}</p><div class='social history'><p>{para}</p></div><div class=related><ul><li>x<li>y</ul></div></article>"
+    assert html_text.main_text(page).split("\n\n") == ["T", para, para, para]
+
+
+def test_any_white_space_is_one_space():
+    assert html_text.main_text("<p>a\u2003b\u3000 c\u2028d&emsp;&nbsp;e\x1ff</p>") == "a b c d e f"
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20000 + "x", "<b>" * 20000 + "x", "<b>" * 3000 + "<p>x</p>" * 3000, "<div><p>a, b.</p>" * 5000, "</i>" * 20000 + "x"])
+def test_deep_pages_take_no_quadratic_time(page):
+    import time
+
+    start = time.process_time()
+    text = html_text.main_text(page)
+    assert time.process_time() - start < 5 and text.replace("\n\n", "").strip("xa, b.") == ""
+
+
 def test_long_page_keeps_all():
     page = "<article>" + "".join(f"<p>para {i}, with words.</p>" for i in range(20000)) + "</article>"
     assert html_text.main_text(page).count("\n\n") == 19999
@@ -212,5 +284,22 @@ def test_rules_look_for_hosts_in_the_host_alone(spark):
     assert [g[1:] for g in got[len(paths) :]] == [(None, "allow"), ("com/en/", "block"), (None, "allow"), (None, "allow")]
 
 
+def test_random_urls_equal_the_sql(spark):
+    """Hosts and paths put together from pieces of the rules, and urls of great length."""
+    import duckdb
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    host = ["com", "net", "org", "example.com", "example.net", "a.example.com", "xcom", "b.org", "EXAMPLE.net", "", "org.xyz"]
+    part = ["/en/", "/en/7", "/de/", "/de/8", "/es/", "/", "x", ".com/en/", "http://a.com/en/7", "?", "#", "/.net/de/8", "/evil.org/es/"]
+    urls = [rng.choice(["http://", "://", "", "x:"]) + rng.choice(host) + "".join(rng.choice(part) for _ in range(rng.randint(0, 4))) for _ in range(3000)]
+    urls += [None, "http://com/en/" + "y" * 200_000, "http://" + "a." * 50_000 + "org/es/"]
+    pages = pa.table({"page_id": list(range(len(urls))), "url": urls})  # noqa: F841
+    want = duckdb.sql(url_filter.ORACLE).fetchall()
+    df = spark.createDataFrame([(i, u, "h", "p") for i, u in enumerate(urls)], "page_id long, url string, host string, path string")
+    got = [tuple(r) for r in url_filter.judge(df).collect()]
+    assert sorted(got) == sorted(want, key=lambda r: r[0])
+
+
 def test_no_urls(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).collect() == []
