@@ -75,6 +75,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES[:-1]):
         docs = scratch.keep(stage(spark, docs, sf_dir), str(i))
+        Scratch.clear(scratch)
         if i:
             scratch.drop(str(i - 1))
     return STAGES[-1][1](spark, docs, sf_dir)
