@@ -7,6 +7,7 @@ where that setting is absent and driver and executors are one process (tests).
 
 from __future__ import annotations
 
+import gc
 import itertools
 import math
 import tempfile
@@ -70,6 +71,12 @@ class Scratch:
         for scratch in [x for x in cls.made if x not in but]:
             scratch.drop("")
             cls.made.remove(scratch)
+            scratch.forget_shuffles()
+
+    def forget_shuffles(self) -> None:
+        """The engine deletes the shuffle files of plans that nothing refers to any more when the driver collects garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"

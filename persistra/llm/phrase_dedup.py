@@ -297,6 +297,7 @@ def confirmed(dealt: DataFrame, scratch: Scratch, width: int = WIDTH, gram: int
     total = scratch.keep(again.groupBy(*passage).agg(F.sum("c").alias("n"), F.min("blk").alias("blk")), "total")
     routed = scratch.keep(again.join(total.select(*passage, "n"), passage).select("blk", *passage, F.expr("n > 1").alias("full")), "routed")
     scratch.drop("again")
+    scratch.forget_shuffles()
     # a run that recurs is opened in one block, and only where another run shares its phrase in part
     lone = total.filter("n = 1").select("phrase").distinct()
     shared = total.filter("n > 1").join(lone, "phrase").select("blk", *passage, F.lit(True).alias("full"))
@@ -304,6 +305,8 @@ def confirmed(dealt: DataFrame, scratch: Scratch, width: int = WIDTH, gram: int
         dealt.groupBy("blk").cogroup(routed.filter("not full").unionByName(shared).groupBy("blk")).applyInArrow(_take_apart(width, gram), f"{_PASSAGES}, weight int"),
         "opened",
     )
+    scratch.drop("total")
+    scratch.forget_shuffles()
     twice = opened.groupBy(*passage).agg(F.sum("weight").alias("n")).filter("n > 1").select(*passage)
     parts = opened.filter("weight = 1").select("blk", *passage).distinct().join(twice, passage)
     return routed.filter("full").select("blk", *passage).unionByName(parts.select("blk", *passage))
