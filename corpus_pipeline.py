@@ -2,7 +2,15 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next stage's docs.  All stages but
-the last return the columns of ``documents``.
+the last return the columns of ``documents``.  As its docs are a written table,
+a stage first removes what the operators of earlier stages left in the shared
+folder.
+
+Defined cases, at every stage: null text and text without letters go in the
+first; null ids, languages, sources and counts stay as they are; repeated rows
+are documents of their own until near-dedup keeps one of them (rows without an
+id are never grouped); an empty table gives an empty result; texts of any
+length are read whole; columns besides those of ``documents`` are left out.
 """
 
 from __future__ import annotations
@@ -18,6 +26,11 @@ from persistra.llm.base import Scratch, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _tidy() -> None:
+    """Scratch of earlier stages goes, but not the table that ``run`` keeps this stage's docs in."""
+    Scratch.clear(*[x for x in Scratch.made if "/scratch-pipeline-" in x.root])
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters go; lang becomes the prediction, or stays where there was no row to learn from."""
     model = language_id.train(docs)
@@ -29,6 +42,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates one row with the least id stays: the least digest, and of equal texts the least row."""
+    _tidy()
     docs = docs.select(*COLUMNS, F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
     found = minhash_dedup.near_duplicates(docs, carry=["digest"]).filter("doc_id is not null and label is not null")
     key = ["doc_id", "digest"]
@@ -44,17 +58,20 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring passages are cut out; texts that lose nothing stay as they are."""
+    _tidy()
     cut = phrase_dedup.remove_repeats(docs, carry=COLUMNS)
     return cut.withColumn("n_chars", F.expr("if(n_removed > 0, length(text), n_chars)").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights; every document is drawn at least once."""
+    _tidy()
     return mixing.drawn(docs.select(*COLUMNS))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document drawn."""
+    _tidy()
     return bpe.encode_and_decode(docs, carry=["lang", "source"])
 
 
@@ -75,7 +92,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES[:-1]):
         docs = scratch.keep(stage(spark, docs, sf_dir), str(i))
-        Scratch.clear(scratch)
         if i:
             scratch.drop(str(i - 1))
     return STAGES[-1][1](spark, docs, sf_dir)
