@@ -182,22 +182,77 @@ def mask_mle(hist: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def hansen_hurwitz(hist: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Posterior profile of each (n, mask, c), weighted by 1 / traversals.
+    """Posterior activity of each (n, mask, c) pattern, read out over traversals.
 
-    Dyads of a stationary traversal are met in proportion to how often they are
-    walked, so each count stands for 1/n of its traversals."""
+    The latent masks are fitted on counts of dyads; a stationary traversal
+    meets a dyad in proportion to how often it is walked, so the readout weighs
+    every dyad with its n."""
 
     def kernel(p: pd.DataFrame):
         like = _mask_likelihood(p["n"].to_numpy(), p["mask"].to_numpy())
         count, n = p["c"].to_numpy(float), p["n"].to_numpy(float)
-        weight = count * n
-        pi = em_mixture(like, weight, 1e-3, 1e-10)
-        post = like * pi
+        post = like * em_mixture(like, count, 1e-3, 1e-10)
         post /= np.maximum(post.sum(1, keepdims=True), 1e-300)
-        spans = np.array([bin(s).count("1") for s in range(1, 1 << WINDOWS)])
-        return [float((post[:, spans >= k].sum(1) * weight).sum() / weight.sum()) for k in range(2, WINDOWS + 1)]
+        weight = count * n / (count * n).sum()
+        states = np.arange(1, 1 << WINDOWS)
+        spans, both, base = (np.array([bin(x).count("1") for x in v]) for v in (states, states & (states >> 1), states & 15))
+        rho = [float(weight @ post[:, spans >= k].sum(1)) for k in range(1, WINDOWS + 1)]
+        start = float(weight @ (post @ base))
+        return [*rho, float(weight @ (post @ spans)) / WINDOWS, float(weight @ (post @ both)) / start if start else None]
 
-    return _grouped(hist, by, kernel, _PROFILE)
+    return _grouped(hist, by, kernel, "rho_1 double, " + _PROFILE + ", mean_occupancy double, c_one_step double")
+
+
+#: from so many events on, every active window counts as seen
+CERTAIN = 60
+
+
+@lru_cache(maxsize=8192)
+def ranked_rows(n: int, beta: float, windows: int = WINDOWS, certain: int | None = CERTAIN) -> tuple[tuple[float, ...], ...]:
+    """P(w distinct windows | n events, k active), w and k from 1, where an event falls in the r-th active window with weight exp(beta * r).
+
+    A set R of j windows lies in comb(k - j, w - j) sets of w, so inclusion and exclusion needs the subsets of the
+    active windows alone."""
+    if certain is not None and n >= certain:
+        return tuple(tuple(float(w == k) for k in range(1, windows + 1)) for w in range(1, windows + 1))
+    out = np.zeros((windows, windows))
+    for k in range(1, windows + 1):
+        weight = np.exp(beta * np.arange(1, k + 1))
+        weight /= weight.sum()
+        size = np.array([bin(r).count("1") for r in range(1, 1 << k)])
+        mass = np.array([sum(weight[i] for i in range(k) if r >> i & 1) for r in range(1, 1 << k)]) ** n
+        for w in range(1, k + 1):
+            terms = [(-1) ** (w - j) * math.comb(k - j, w - j) * x for j, x in zip(size.tolist(), mass.tolist()) if j <= w]
+            out[w - 1, k - 1] = min(1.0, max(0.0, math.fsum(terms)))
+    return tuple(map(tuple, out.tolist()))
+
+
+def rank_beta_mle(hist: DataFrame, betas: Sequence[float] = (0.0, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0), by: Sequence[str] = (), certain: int | None = CERTAIN) -> DataFrame:
+    """(n, w, c) counts -> for each beta the log likelihood and the profile of the occupancy model whose windows weigh
+    exp(beta * rank) within a dyad's active set, and whether beta is the likeliest (the smallest on a tie)."""
+    out = "beta double, loglik double, likeliest boolean, rho_2 double, rho_3 double, rho_4 double, rho_5 double"
+    keys = list(by) or ["_all"]
+    h = hist if by else hist.withColumn("_all", F.lit(0))
+    schema = ", ".join(f"{k} {h.schema[k].dataType.simpleString()}" for k in keys) + f", {out}"
+
+    def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        count, fits = p["c"].to_numpy(float), []
+        for beta in betas:
+            like = np.array([ranked_rows(int(n), float(beta), WINDOWS, certain)[int(w) - 1] for n, w in zip(p["n"], p["w"])])
+            pi = em_mixture(like, count, 0.0, 1e-10, 150)
+            fits.append((float((count * np.log(np.maximum(like @ pi, 1e-300))).sum()), _profile(pi, np.arange(1, WINDOWS + 1))))
+        best = max(range(len(fits)), key=lambda i: (round(fits[i][0], 9), -betas[i]))
+        rows = [[*key, float(b), score, i == best, *rho] for i, (b, (score, rho)) in enumerate(zip(betas, fits))]
+        return pd.DataFrame(rows, columns=[*keys, *(c.split()[0] for c in out.split(", "))])
+
+    done = h.groupBy(*keys).applyInPandas(run, schema)
+    return done if by else done.drop("_all")
+
+
+def calibrate_beta(fits: DataFrame, truth: DataFrame, by: Sequence[str], target: str = "true_2") -> DataFrame:
+    """The beta whose rho_2 is nearest to the truth on the mean over all groups, the smaller on a tie; one row."""
+    error = fits.join(truth, list(by)).groupBy("beta").agg(F.avg(F.abs(F.col("rho_2") - F.col(target))).alias("mae"))
+    return error.agg(F.min_by(F.struct("beta", "mae"), F.struct(F.round("mae", 9), "beta")).alias("r")).select("r.*")
 
 
 def biased_rows(n: int, beta: float, windows: int = WINDOWS) -> np.ndarray:
@@ -217,16 +272,17 @@ def biased_rows(n: int, beta: float, windows: int = WINDOWS) -> np.ndarray:
     return out
 
 
-def beta_mle(hist: DataFrame, betas: Sequence[float] = (0.0, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0), by: Sequence[str] = ()) -> DataFrame:
-    """(n, mask, c) counts -> the beta of greatest likelihood and the profile there."""
+def window_beta_mle(hist: DataFrame, betas: Sequence[float] = (0.0, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0), by: Sequence[str] = ()) -> DataFrame:
+    """(n, mask, c) counts -> the beta of greatest likelihood and the profile there, with weights by window of the whole
+    period rather than by rank among a dyad's active ones; every n is taken as it is."""
 
     def kernel(p: pd.DataFrame):
         n, mask, count = p["n"].to_numpy(), p["mask"].to_numpy(), p["c"].to_numpy(float)
         spans = np.array([bin(s).count("1") for s in range(1, 1 << WINDOWS)])
         best = None
         for beta in betas:
-            tables = {int(k): biased_rows(int(k), beta) for k in np.unique(np.minimum(n, 60))}
-            like = np.array([tables[min(int(k), 60)][int(m) - 1] for k, m in zip(n, mask)])
+            tables = {int(k): biased_rows(int(k), beta) for k in np.unique(n)}
+            like = np.array([tables[int(k)][int(m) - 1] for k, m in zip(n, mask)])
             pi = em_mixture(like, count, 0.0, 1e-10, 120)
             score = float((count * np.log(np.maximum(like @ pi, 1e-300))).sum())
             if best is None or score > best[0] + 1e-9:

@@ -39,32 +39,37 @@ def time_prefix(events: DataFrame, budget: int) -> DataFrame:
     return top.withColumn("pos", F.row_number().over(W.orderBy("t", "eid"))).select("pos", "u", "v", "t", "eid")
 
 
-def positions(events: DataFrame, by: Sequence[str], seeds: Sequence[int] = (0, 1)) -> DataFrame:
-    """All events of every (instance, strategy, seed) with pos, so that a budget is ``pos <= B``.
+def ranked(events: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Canonical events with eid, rank by time from 0 and the number of events of each instance."""
+    whole = W.partitionBy(*by)
+    return keyed(events, by).withColumn("r", F.row_number().over(whole.orderBy("t", "eid")) - 1).withColumn("size", F.count("*").over(whole))
+
+
+def positions(rows: DataFrame, by: Sequence[str], most: int, seeds: Sequence[int] = (0, 1)) -> DataFrame:
+    """``ranked`` rows -> the first ``most`` events of every (instance, strategy, seed) with pos, so that a budget is ``pos <= B``.
 
-    Strategies: reservoir (hash order), time_prefix (time order, one seed), block
-    (ranks nearest a hashed anchor, lower rank first).
+    Strategies: reservoir (hash order), time_prefix (time order, one seed), block (ranks nearest a hashed anchor, lower
+    rank first).  Prefixes and blocks are cut by rank before anything is sorted, reservoirs are top-k.
     """
-    e = keyed(events, by)
-    whole = W.partitionBy(*by)
-    ranked = e.withColumn("r", F.row_number().over(whole.orderBy("t", "eid")) - 1).withColumn("size", F.count("*").over(whole))
-    prefix = ranked.withColumn("strategy", F.lit("time_prefix")).withColumn("seed", F.lit(0)).withColumn("pos", F.col("r") + 1)
-    many = ranked.withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
+    prefix = rows.filter(F.col("r") < most).withColumn("strategy", F.lit("time_prefix")).withColumn("seed", F.lit(0)).withColumn("pos", F.col("r") + 1)
+    many = rows.withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
     seeded = W.partitionBy(*by, "seed")
     sampled = many.withColumn("strategy", F.lit("reservoir")).withColumn(
         "pos", F.row_number().over(seeded.orderBy(F.md5(F.concat_ws("|", F.col("seed").cast("string"), "eid")), "eid"))
     )
     anchor = F.floor(u01("anchor", F.col("seed"), *(F.col(b) for b in by)) * F.col("size"))
-    block = many.withColumn("strategy", F.lit("block")).withColumn("far", F.abs(F.col("r") - anchor))
+    # the nearest ranks lie within this distance, also where the anchor is near an end
+    block = many.withColumn("strategy", F.lit("block")).withColumn("far", F.abs(F.col("r") - anchor)).filter(F.col("far") <= most)
     block = block.withColumn("pos", F.row_number().over(seeded.orderBy("far", "r"))).drop("far")
-    return prefix.unionByName(sampled).unionByName(block).drop("r", "size")
+    return prefix.unionByName(sampled.filter(F.col("pos") <= most)).unionByName(block.filter(F.col("pos") <= most)).drop("r", "size")
 
 
 def node_panel_size(nodes: DataFrame) -> DataFrame:
     """(nodes, events, budget) rows -> size: panel size whose expected induced events are nearest the budget."""
-    size = F.expr(
-        "array_min(transform(sequence(2L, nodes), x -> struct(round(abs(double(events) * x * (x - 1) / (double(nodes) * (nodes - 1)) - budget), 9) as miss, x as size))).size"
-    )
+    # the root of x (x - 1) = budget * nodes (nodes - 1) / events; the best whole number is beside it
+    root = "0.5 + sqrt(0.25 + double(budget) * double(nodes) * (nodes - 1) / events)"
+    near = f"transform(sequence(-2, 2), i -> least(nodes, greatest(2L, bigint(floor(least({root}, double(nodes)))) + i)))"
+    size = F.expr(f"array_min(transform({near}, x -> struct(round(abs(double(events) * x * (x - 1) / (double(nodes) * (nodes - 1)) - budget), 9) as miss, x as size))).size")
     return nodes.withColumn("size", size)
 
 

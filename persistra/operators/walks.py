@@ -8,15 +8,18 @@ Restarts and steps both cost one row, so a smaller budget is a prefix of pos.
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STRATEGIES = ("time_agnostic", "time_agnostic_t", "time_respecting", "recency_biased", "recent_history")
-LOG = "instance_id string, strategy string, seed int, pos int, kind int, node string, u string, v string, t double, dt double"
+LOG = "instance_id string, strategy string, seed int, pos int, kind int, node string, u string, v string, t double, dt double, query_id int, partial boolean"
+_ARROW = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+LOG_TYPES = {c.split()[0]: _ARROW[c.split()[1]] for c in LOG.split(", ")}
 
 
 def parse_strategy(name: str) -> tuple[str, dict]:
@@ -32,64 +35,75 @@ def parse_strategy(name: str) -> tuple[str, dict]:
 
 
 class Index:
-    """Incident events of each node, sorted by time, and each edge's times."""
+    """Incident events of each node, sorted by time, as slices of arrays; nodes are numbered in their order."""
 
     def __init__(self, u: np.ndarray, v: np.ndarray, t: np.ndarray):
-        order = np.argsort(t, kind="stable")
-        self.u, self.v, self.t = u[order], v[order], t[order]
-        self.events: dict[str, tuple[np.ndarray, list[str]]] = {}
-        raw: dict[str, list] = {}
-        self.edges: dict[tuple[str, str], list[float]] = {}
-        for a, b, x in zip(self.u.tolist(), self.v.tolist(), self.t.tolist()):
-            raw.setdefault(a, []).append((x, b))
-            raw.setdefault(b, []).append((x, a))
-            self.edges.setdefault((min(a, b), max(a, b)), []).append(x)
-        self.nodes = sorted(raw)
-        self.events = {n: (np.array([x for x, _ in e]), [b for _, b in e]) for n, e in raw.items()}
-        self.neighbours = {n: sorted(set(b)) for n, (_, b) in self.events.items()}
-        self.end = float(self.t[-1]) if len(self.t) else 0.0
-        self.start = float(self.t[0]) if len(self.t) else 0.0
+        coded = pa.array(np.concatenate([u, v]), pa.string()).dictionary_encode()
+        names, n = np.array(coded.dictionary.to_pylist(), object), len(u)
+        order = np.argsort(names)
+        rank = np.empty(len(names), np.int64)
+        rank[order] = np.arange(len(names))
+        code = rank[coded.indices.to_numpy()]
+        self.nodes = names[order].tolist()
+        a, b, t = code[:n], code[n:], np.asarray(t, float)
+        source, other, event = np.concatenate([a, b]), np.concatenate([b, a]), np.tile(np.arange(n), 2)
+        order = np.lexsort((event, np.tile(t, 2), source))
+        self.time, self.other, self.event = np.tile(t, 2)[order], other[order], event[order]
+        self.first = np.searchsorted(source[order], np.arange(len(names) + 1))
+        pairs = np.unique(source.astype(np.int64) * max(1, len(names)) + other)
+        self.near = pairs % max(1, len(names))
+        self.near_first = np.searchsorted(pairs // max(1, len(names)), np.arange(len(names) + 1))
+        self.start, self.end = (float(t.min()), float(t.max())) if n else (0.0, 0.0)
+
+    def incident(self, node: int) -> tuple[np.ndarray, np.ndarray]:
+        at = slice(self.first[node], self.first[node + 1])
+        return self.time[at], self.other[at]
+
+    def edge(self, x: int, y: int) -> tuple[str, str]:
+        return (self.nodes[x], self.nodes[y]) if x < y else (self.nodes[y], self.nodes[x])
 
 
 def walk(index: Index, strategy: str, budget: int, seed: int, k: int = 20, scale: float | None = None) -> list[tuple]:
     """(kind, node, u, v, t, dt): kind 0 is a restart, 1 a step over an event."""
-    rng = np.random.default_rng([STRATEGIES.index(strategy), seed])
+    # time_agnostic_t walks as time_agnostic does and draws its times from a generator of their own
+    rng = np.random.default_rng([max(0, STRATEGIES.index(strategy) - 1), seed])
+    clock = np.random.default_rng([7, seed])
     horizon = index.end - index.start
     scale = scale or horizon / 10 or 1.0
     log: list[tuple] = []
     node, tau = None, 0.0
     while len(log) < budget and index.nodes:
         if node is None:
-            node = index.nodes[rng.integers(len(index.nodes))]
+            node = int(rng.integers(len(index.nodes)))
             tau = index.end + 1e-9 * max(1.0, horizon) if strategy == "recent_history" else index.start + horizon * rng.random()
-            log.append((0, node, None, None, None, None))
+            log.append((0, index.nodes[node], None, None, None, None))
             continue
-        times, others = index.events[node]
+        times, others = index.incident(node)
         if strategy.startswith("time_agnostic"):
-            nxt = index.neighbours[node][rng.integers(len(index.neighbours[node]))]
-            t = None
+            near = index.near[index.near_first[node] : index.near_first[node + 1]]
+            nxt, t = int(near[rng.integers(len(near))]), None
             if strategy == "time_agnostic_t":
-                seen = index.edges[min(node, nxt), max(node, nxt)]
-                t = seen[rng.integers(len(seen))]
-            log.append((1, nxt, min(node, nxt), max(node, nxt), t, None))
+                seen = times[others == nxt]
+                t = float(seen[clock.integers(len(seen))])
+            log.append((1, index.nodes[nxt], *index.edge(node, nxt), t, None))
             node = nxt
             continue
         if strategy == "recent_history":
             hi = int(np.searchsorted(times, tau, "left"))
-            pick = np.arange(max(0, hi - k), hi)
+            lo = max(0, hi - k)
         else:
-            pick = np.arange(int(np.searchsorted(times, tau, "right")), len(times))
-        if not len(pick):
+            lo, hi = int(np.searchsorted(times, tau, "right")), len(times)
+        if lo >= hi:
             node = None
             continue
         if strategy == "recency_biased":
-            gap = times[pick] - tau
+            gap = times[lo:hi] - tau
             w = np.exp(-(gap - gap.min()) / scale)
-            i = int(rng.choice(pick, p=w / w.sum()))
+            i = lo + int(rng.choice(hi - lo, p=w / w.sum()))
         else:
-            i = int(pick[rng.integers(len(pick))])
-        nxt, t = others[i], float(times[i])
-        log.append((1, nxt, min(node, nxt), max(node, nxt), t, abs(t - tau)))
+            i = lo + int(rng.integers(hi - lo))
+        nxt, t = int(others[i]), float(times[i])
+        log.append((1, index.nodes[nxt], *index.edge(node, nxt), t, abs(t - tau)))
         node, tau = nxt, t
     return log
 
@@ -103,56 +117,61 @@ def multistart(index: Index, strategy: str, budget: int, seed: int, starts: int,
 
 
 def ego_snowball(index: Index, budget: int, seed: int, k: int | None) -> list[tuple]:
-    """A queue of nodes; each answers with its newest k (or all) events not seen yet, and the other end of the
-    newest event joins the queue; an empty queue restarts."""
+    """A queue of nodes, asked in turn.  A node answers with its newest k events (or all), less those seen before; the
+    far end of its newest event, seen or not, joins the queue; an empty queue goes on with the next node of a random
+    order.  So the order of nodes does not depend on k.  Adds to a walk's columns: number of the query, and whether the
+    budget cut its answer."""
     rng = np.random.default_rng([99, seed])
-    asked: set[str] = set()
-    seen: set[tuple] = set()
-    queue: list[str] = []
+    restarts = iter(rng.permutation(len(index.nodes)).tolist())
+    asked: set[int] = set()
+    seen: set[int] = set()
+    queue: deque[int] = deque()
     log: list[tuple] = []
-    while len(log) < budget and len(asked) < len(index.nodes):
+    while len(log) < budget:
         if not queue:
-            rest = [n for n in index.nodes if n not in asked]
-            queue.append(rest[rng.integers(len(rest))])
-        node = queue.pop(0)
-        if node in asked:
-            continue
+            fresh = next((x for x in restarts if x not in asked), None)
+            if fresh is None:
+                break
+            queue.append(fresh)
+        node = queue.popleft()
+        at = np.arange(index.first[node + 1] - 1, index.first[node] - 1, -1)
+        answer = [i for i in (at if k is None else at[:k]).tolist() if int(index.event[i]) not in seen]
+        partial = len(answer) > budget - len(log)
+        for i in answer[: budget - len(log)]:
+            seen.add(int(index.event[i]))
+            log.append((1, index.nodes[node], *index.edge(node, int(index.other[i])), float(index.time[i]), None, len(asked), partial))
         asked.add(node)
-        times, others = index.events[node]
-        fresh = [(t, b) for t, b in zip(times[::-1].tolist(), others[::-1]) if (min(node, b), max(node, b), t) not in seen]
-        if fresh:
-            queue.append(fresh[0][1])
-        for t, b in fresh[: len(fresh) if k is None else k][: budget - len(log)]:
-            e = (min(node, b), max(node, b), t)
-            seen.add(e)
-            log.append((1, node, *e, None))
+        far = int(index.other[at[0]])
+        if far not in asked and far not in queue:
+            queue.append(far)
     return log
 
 
 def run_walks(events: DataFrame, strategies: Sequence[str], budget: int, seeds: Sequence[int] = (0,)) -> DataFrame:
-    """events: instance_id, u, v, t -> the logs of every (instance, strategy, seed)."""
-    plan = F.explode(F.array(*(F.struct(F.lit(s).alias("strategy"), F.lit(i).alias("seed")) for s in strategies for i in seeds)))
-    jobs = events.groupBy("instance_id").agg(F.sort_array(F.collect_list(F.struct("t", "u", "v"))).alias("events")).withColumn("job", plan)
-    jobs = jobs.repartition(F.col("instance_id"), F.col("job.strategy"), F.col("job.seed"))
-
-    def run(batches):
-        for pdf in batches:
-            for r in pdf.itertuples():
-                t = np.array([e["t"] for e in r.events], float)
-                u, v = (np.array([e[c] for e in r.events], object) for c in ("u", "v"))
-                index = Index(u, v, t)
-                name, how = parse_strategy(r.job["strategy"])
-                seed = int(r.job["seed"])
+    """events: instance_id, u, v, t -> the logs of every (instance, strategy, seed).
+
+    A network's incidence goes to one worker once, as Arrow columns, and all its walks are made there; networks are
+    independent groups."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by([(c, "ascending") for c in ("t", "u", "v")])
+        index = Index(*(group.column(c).to_numpy() for c in ("u", "v", "t")))
+        rows: list[tuple] = []
+        for strategy in strategies:
+            name, how = parse_strategy(strategy)
+            starts = how.pop("starts", None)
+            for seed in seeds:
                 if name == "ego_recent":
                     log = ego_snowball(index, budget, seed, how["k"])
-                elif "starts" in how:
-                    log = multistart(index, name, budget, seed, how.pop("starts"), **how)
+                elif starts:
+                    log = multistart(index, name, budget, seed, starts, **how)
                 else:
                     log = walk(index, name, budget, seed, **how)
-                head = (r.instance_id, r.job["strategy"], seed)
-                yield pd.DataFrame([(*head, i, *row) for i, row in enumerate(log)], columns=[c.split()[0] for c in LOG.split(", ")])
+                rows += [(key[0].as_py(), strategy, seed, i, *row, *(() if len(row) == 8 else (None, None))) for i, row in enumerate(log)]
+        columns = list(zip(*rows)) if rows else [()] * len(LOG_TYPES)
+        return pa.table({name: pa.array(c, kind) for (name, kind), c in zip(LOG_TYPES.items(), columns)})
 
-    return jobs.mapInPandas(run, LOG)
+    return events.select("instance_id", "u", "v", "t").groupBy("instance_id").applyInArrow(run, LOG)
 
 
 def time_respecting_paths(events: DataFrame, start: str, hops: int) -> DataFrame:

@@ -13,18 +13,19 @@ from pyspark.sql import functions as F
 
 from persistra.functions.exprs import r6, window_index
 from persistra.operators import census, estimators, features, samplers
+from persistra.sources.scratch import written
 from persistra.sources.streams import cust_supp, epoch, table
 
 BUDGETS = (100, 400)
 
 
-def nation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(instance_id, group_id, u, v, t, t0, t1): the stream by customer nation, on the whole stream's horizon."""
+def nation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(instance_id, group_id, u, v, t): the stream by customer nation."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", epoch("o_orderdate").alias("t"))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    e = (
+    return (
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(cust, F.col("o_custkey") == F.col("c_custkey"))
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
@@ -33,7 +34,11 @@ def nation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("c"), "o_custkey").alias("u"), F.concat(F.lit("s"), "l_suppkey").alias("v"), "t",
         )
     )
-    return census.with_horizon(e)
+
+
+def nation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``nation_rows`` with t0 and t1, the whole stream's horizon."""
+    return census.with_horizon(nation_rows(spark, sf_dir))
 
 
 def truth(events: DataFrame) -> DataFrame:
@@ -46,14 +51,14 @@ def truth(events: DataFrame) -> DataFrame:
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = nation_events(spark, sf_dir)
-    pos = samplers.positions(e, ["instance_id", "group_id"])
-    log = pos.filter(F.col("pos") <= max(BUDGETS)).withColumn("budget", F.explode(F.array(*map(F.lit, BUDGETS)))).filter("pos <= budget")
+    """The case table, written: later branches of a plan read its few rows."""
+    e = census.with_horizon(written(samplers.ranked(nation_rows(spark, sf_dir), ["instance_id", "group_id"]), "ranked"))
+    log = samplers.positions(e, ["instance_id", "group_id"], max(BUDGETS)).withColumn("budget", F.explode(F.array(*map(F.lit, BUDGETS)))).filter("pos <= budget")
     key = ["instance_id", "group_id", "strategy", "seed", "budget"]
-    seen = features.edge_observations(log.withColumn("w", window_index("t", "t0", "t1", 5)), key)
+    seen = written(features.edge_observations(log.withColumn("w", window_index("t", "t0", "t1", 5)), key), "seen")
     own = estimators.plugin(seen, key)
     counts = seen.groupBy(*key).agg(F.count("*").alias("n_seen"))
-    return (
+    out = (
         own.join(counts, key)
         .join(truth(e), ["instance_id", "group_id"])
         .select(
@@ -66,6 +71,7 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
             "true_c",
         )
     )
+    return written(out, "cases")
 
 
 def predictions(c: DataFrame) -> DataFrame:

@@ -110,8 +110,8 @@ PREDICTIONS = f"""{CASES}, pred AS (
          (1 - i / 4::DOUBLE) * pred_2 + (1 - (1 - i / 4::DOUBLE)) * 0.2::DOUBLE AS prediction, true_2 AS y_true
   FROM cases, range(4) r(i)
 ), ok AS (SELECT *, prediction - y_true AS err FROM pred WHERE prediction IS NOT NULL AND y_true IS NOT NULL)"""
-METRICS = """SELECT model, strategy, sum(n)::BIGINT AS n, round(round(sum(a) / sum(n), 9), 6) AS mae, round(avg(g), 6) AS macro_mae, round(max(g), 6) AS worst_group_mae,
-  round(quantile_cont(g, 0.9), 6) AS p90_group_mae, round(sqrt(sum(q) / sum(n)), 6) AS rmse, round(sum(s) / sum(n), 6) AS bias
+METRICS = """SELECT model, strategy, sum(n)::BIGINT AS n, round(round(sum(a) / sum(n), 9) + 1e-9::DOUBLE, 6) AS mae, round(avg(g) + 1e-9::DOUBLE, 6) AS macro_mae, round(max(g) + 1e-9::DOUBLE, 6) AS worst_group_mae,
+  round(quantile_cont(g, 0.9) + 1e-9::DOUBLE, 6) AS p90_group_mae, round(sqrt(sum(q) / sum(n)) + 1e-9::DOUBLE, 6) AS rmse, round(sum(s) / sum(n) + 1e-9::DOUBLE, 6) AS bias
  FROM (SELECT model, strategy, group_id, count(*) AS n, sum(abs(err)) AS a, sum(err * err) AS q, sum(err) AS s, avg(abs(err)) AS g FROM ok GROUP BY ALL) GROUP BY model, strategy"""
 FOLDS = "folds AS (SELECT 'r' || r_regionkey AS group_id, (r_regionkey % 3)::INT AS fold FROM region)"
 PMAE = "(abs(pred_2 - true_2) + abs(pred_3 - true_3) + abs(pred_4 - true_4) + abs(pred_5 - true_5)) / 4"
@@ -221,7 +221,7 @@ ORACLES: dict[str, str] = {
     "mean_median_floor": f"""WITH {CASES}, {FOLDS}, h AS (SELECT DISTINCT fold AS held FROM folds) SELECT held::BIGINT AS fold, round(avg(true_2), 6) AS mean_floor, round(quantile_cont(true_2, 0.5), 6) AS median_floor
       FROM cases JOIN folds USING (group_id), h WHERE fold <> held GROUP BY 1""",
     "logo_floor": f"""WITH {CASES}, g AS (SELECT strategy, group_id, sum(true_2) AS s, count(*) AS c FROM cases GROUP BY ALL)
-      SELECT strategy, group_id, round((sum(s) OVER w - s) / nullif(sum(c) OVER w - c, 0), 6) AS floor FROM g WINDOW w AS (PARTITION BY strategy)""",
+      SELECT strategy, group_id, round((sum(s) OVER w - s) / nullif(sum(c) OVER w - c, 0) + 1e-9::DOUBLE, 6) AS floor FROM g WINDOW w AS (PARTITION BY strategy)""",
     "metric_table": f"WITH {PREDICTIONS} {METRICS}",
     "metric_slices": f"""WITH {PREDICTIONS} SELECT model, CASE WHEN grouping(strategy) = 0 THEN 'strategy' WHEN grouping(budget) = 0 THEN 'budget' WHEN grouping(seed) = 0 THEN 'seed' ELSE 'overall' END AS slice,
       coalesce(strategy, budget::VARCHAR, seed::VARCHAR, 'all') AS slice_value, count(*) AS n, round(avg(abs(err)), 6) AS mae, round(avg(err), 6) AS bias

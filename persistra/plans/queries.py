@@ -21,9 +21,11 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to six places, counts to long: what comparisons of engines need."""
-    return df.select(*(r6(c).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t in ("int", "tinyint", "smallint") else F.col(c) for c, t in df.dtypes))
+def rounded(df: DataFrame, up: float = 0.0) -> DataFrame:
+    """Doubles to six places, counts to long: what comparisons of engines need.
+
+    ``up`` is added first, so that halves of the last place, which means of rounded numbers hold, go one way."""
+    return df.select(*(r6(F.col(c) + up if up else c).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t in ("int", "tinyint", "smallint") else F.col(c) for c, t in df.dtypes))
 
 
 # census --------------------------------------------------------------------
@@ -162,7 +164,7 @@ def time_prefix_sample(spark, d):
 @query
 def random_block_sample(spark, d):
     e = nation_events(spark, d).select("instance_id", "u", "v", "t")
-    p = samplers.positions(e, ["instance_id"], (0,)).filter("strategy = 'block' and pos <= 100")
+    p = samplers.positions(samplers.ranked(e, ["instance_id"]), ["instance_id"], 100, (0,)).filter("strategy = 'block'")
     return rounded(samplers.block_window(p, ["instance_id"]))
 
 
@@ -354,12 +356,12 @@ def mean_median_floor(spark, d):
 @query
 def logo_floor(spark, d):
     rows = cases(spark, d).select("strategy", "group_id", F.col("true_2").alias("y_true"))
-    return rounded(evaluate.logo_floor(rows, ["strategy"]))
+    return rounded(evaluate.logo_floor(rows, ["strategy"]), 1e-9)
 
 
 @query
 def metric_table(spark, d):
-    return rounded(evaluate.metrics(predictions(cases(spark, d)), ["model", "strategy"]))
+    return rounded(evaluate.metrics(predictions(cases(spark, d)), ["model", "strategy"]), 1e-9)
 
 
 @query
@@ -549,8 +551,13 @@ def mask_mle(spark, d):
 
 
 @query
-def beta_mle(spark, d):
-    return estimators.beta_mle(_masks(spark, d))
+def window_beta_mle(spark, d):
+    return estimators.window_beta_mle(_masks(spark, d))
+
+
+@query
+def rank_beta_mle(spark, d):
+    return estimators.rank_beta_mle(features.nw_histogram(dense_seen(spark, d)))
 
 
 @query

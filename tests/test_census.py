@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from persistra.operators import answers, census, estimators, evaluate, features, samplers, surrogates, walks
-from persistra.plans import oracles, queries
+from persistra.plans import oracles, panels, queries
 from persistra.sources import streams
 
 MICRO = [("0", "1", 0.0), ("0", "1", 0.25), ("0", "1", 0.85), ("1", "2", 0.1), ("1", "2", 0.12), ("2", "3", 0.65), ("2", "3", 1.0), ("0", "3", 0.5), ("1", "3", 0.95)]
@@ -84,6 +84,23 @@ def test_estimators_at_full_observation(spark):
     assert r.rho_2 == pytest.approx(0.75, abs=0.01) and r.rho_3 == pytest.approx(0.5, abs=0.01)
     hh = estimators.hansen_hurwitz(spark.createDataFrame([(100, 1, 3), (100, 31, 1)], "n long, mask long, c long")).first()
     assert hh.rho_2 == pytest.approx(0.25, abs=1e-3) and hh.rho_5 == pytest.approx(0.25, abs=1e-3)
+    # the fit is on dyads, the readout on traversals: unequal n tell them apart
+    rows = [(1, 1, 4), (5, 31, 2)]
+    hh = estimators.hansen_hurwitz(spark.createDataFrame(rows, "n long, mask long, c long")).first()
+    assert hh.rho_1 == pytest.approx(1.0) and hh.rho_2 == pytest.approx(0.751, abs=2e-3)
+    fits = {r.beta: r for r in estimators.rank_beta_mle(spark.createDataFrame([(60, 1, 1), (60, 2, 1)], "n long, w int, c long")).collect()}
+    assert len(fits) == 7 and all(r.rho_2 == pytest.approx(0.5) for r in fits.values()) and fits[0.0].likeliest
+    by_weight = {n: estimators.ranked_rows(n, 0.0) for n in (1, 2, 3, 7)}
+    for n, rows in by_weight.items():
+        for w in range(5):
+            assert list(rows[w]) == pytest.approx(list(estimators.occupancy_row(n)[w]), abs=1e-12)
+    # two active windows of weights 1 and e: both are seen by two events unless both fall in one
+    p = 1 / (1 + math.e)
+    assert estimators.ranked_rows(2, 1.0)[1][1] == pytest.approx(2 * p * (1 - p))
+    assert sum(estimators.ranked_rows(200, 3.0, certain=None)[w][4] for w in range(5)) == pytest.approx(1.0)
+    fit = spark.createDataFrame([("a", 0.0, 0.5), ("a", 1.0, 0.7), ("b", 0.0, 0.1), ("b", 1.0, 0.4)], "g string, beta double, rho_2 double")
+    truth = spark.createDataFrame([("a", 0.7), ("b", 0.3)], "g string, true_2 double")
+    assert tuple(estimators.calibrate_beta(fit, truth, ["g"]).first()) == pytest.approx((1.0, 0.05))
     chao = estimators.chao1(spark.createDataFrame([(1,)] * 4 + [(2,)] * 2, "n long")).first()
     assert chao.chao1 == 8.0
     p = estimators.decreasing(spark.createDataFrame([(0.2, 0.6, 0.1, 0.0)], "a double, b double, c double, d double"), ["a", "b", "c", "d"]).first()
@@ -150,6 +167,49 @@ def test_walks_obey_time():
     assert len({e[2:5] for e in walks.ego_snowball(index, 10, 0, None)}) == 3
 
 
+def test_walk_times_do_not_change_the_walk_and_depth_not_the_queries(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    u, v = rng.integers(0, 12, 300).astype(str).astype(object), rng.integers(12, 20, 300).astype(str).astype(object)
+    t = np.round(rng.random(300), 2)
+    index = walks.Index(u, v, t)
+    plain, timed = walk_of(index, "time_agnostic"), walk_of(index, "time_agnostic_t")
+    assert [r[:4] for r in plain] == [r[:4] for r in timed] and all(r[4] is None for r in plain)
+    events = set(zip(u, v, t)) | set(zip(v, u, t))
+    assert all((a, b, x) in events for kind, _, a, b, x, _ in timed if kind)
+
+    def order(k, queries):
+        out = []
+        for r in walks.ego_snowball(index, 10**6, 4, k):
+            if r[6] < queries:
+                out.append((r[6], r[1]))
+        return dict(out)
+
+    deep, shallow, whole = order(5, 12), order(1, 12), order(None, 12)
+    assert all(whole.get(q, n) == n for q, n in deep.items()) and all(deep.get(q, n) == n for q, n in shallow.items())
+    everything = walks.ego_snowball(index, 10**6, 4, None)
+    assert len(everything) == 300 and not any(r[7] for r in everything)
+    assert sorted((*sorted(r[2:4]), r[4]) for r in everything) == sorted((*sorted(e), x) for *e, x in zip(u, v, t))
+    # the newest k are cut first, events seen before are dropped then
+    for q in range(12):
+        assert sum(r[6] == q for r in walks.ego_snowball(index, 10**6, 4, 5)) <= 5
+    assert walks.ego_snowball(index, 7, 4, None)[-1][7] and len(walks.ego_snowball(index, 7, 4, None)) == 7
+    rows = spark.createDataFrame([("x", a, b, float(c)) for a, b, c in zip(u, v, t)], "instance_id string, u string, v string, t double")
+    got = walks.run_walks(rows, ["time_agnostic", "time_agnostic_t", "ego_recent_k5", "time_respecting_multistart3"], 50, (0, 1))
+    assert got.count() == 2 * (50 + 50 + 50 + 50) and got.filter("strategy = 'ego_recent_k5' and query_id is null").count() == 0
+
+
+def test_baselines_must_not_be_missing(spark):
+    from persistra.operators import tables
+
+    cases = spark.createDataFrame([(i,) for i in range(10)], "case_id long")
+    p = spark.createDataFrame([(i, "m", 0.5) for i in range(10)], "case_id long, model string, prediction double")
+    assert tables.with_baselines(cases, p, "case_id", ["m"]).count() == 10
+    with pytest.raises(ValueError, match="missing"):
+        tables.with_baselines(cases, p.filter("case_id > 0"), "case_id", ["m"])
+
+
 def walk_of(index, name):
     return walks.walk(index, name, 200, 3)
 
@@ -185,11 +245,14 @@ def values(rows):
     return sorted(tuple(one(v) for v in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(oracles.ORACLES))
+SQL = {**oracles.ORACLES, **panels.ORACLES}
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, duck, name):
     df = queries.QUERIES[name](spark, DATA)
     columns = sorted(df.columns)
-    rel = duck.sql(oracles.ORACLES[name])
+    rel = duck.sql(SQL[name])
     assert sorted(rel.columns) == columns
     order = [rel.columns.index(c) for c in columns]
     got = values(tuple(r[c] for c in columns) for r in df.collect())
