@@ -69,9 +69,10 @@ class Scratch:
     def clear(cls, *but: Scratch) -> None:
         """Removes the tables of all calls so far but those named."""
         for scratch in [x for x in cls.made if x not in but]:
-            scratch.drop("")
             cls.made.remove(scratch)
-            scratch.forget_shuffles()
+            if scratch.spark.sparkContext._jsc is not None:  # its session has not ended
+                scratch.drop("")
+                scratch.forget_shuffles()
 
     def forget_shuffles(self) -> None:
         """The engine deletes the shuffle files of plans that nothing refers to any more when the driver collects garbage."""
