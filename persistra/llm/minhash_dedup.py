@@ -261,7 +261,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH, carr
     stars = lists.join(leaders, "v").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
     likely = _estimated(stars, nodes, percent).groupBy("b").agg(F.sort_array(F.collect_list(F.struct("m", "a")), asc=False).alias("ms"))
     best = likely.select("b", F.explode(F.expr("slice(ms.a, 1, 2)")).alias("a"))
-    edges = scratch.keep(confirmed(best), "stars")
+    # links are few and small: one exchange, so that they are not written as a file for each task that compared sets
+    edges = scratch.keep(confirmed(best).distinct(), "stars")
     comps = scratch.keep(connected_components(edges, scratch), "comps")
 
     # what still lies in several components of one list: members outside the list's largest against all
@@ -298,7 +299,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH, carr
     left = blocked.filter("comp <> main").groupBy("v", "blk").agg(members.alias("xs")).select("v", "xs")
     right = blocked.groupBy("v", "blk").agg(members.alias("ys")).select("v", "ys")
     long_links = left.join(right, "v").select("v", "xs", "ys").mapInArrow(_block_links(percent), "a long, b long")
-    more = scratch.keep(confirmed(close).unionByName(long_links), "edges")
+    more = scratch.keep(confirmed(close).unionByName(long_links).distinct(), "edges")
     if more.limit(1).count():
         comps = connected_components(edges.unionByName(more), scratch)
     groups = scratch.keep(
