@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from persistra.functions.exprs import u01
+
 KEYS = ("rho_k2", "rho_k3", "rho_k4", "rho_k5")
 
 
@@ -80,12 +84,24 @@ def paired_delta(rows: DataFrame, case: str, arm: str, value: str, baseline: str
     return d.groupBy(arm).agg(F.count("*").alias("n"), F.avg("d").alias("delta"), (F.stddev_samp("d") / F.sqrt(F.count("*"))).alias("se"))
 
 
+def _poisson_steps(bits: int = 32) -> list[float]:
+    """Distribution function of a Poisson(1) variable, as far as a uniform number of ``bits`` bits can reach."""
+    steps, p, total = [], math.exp(-1), 0.0
+    for k in itertools.count(1):
+        total += p
+        if 1 - total < 2.0**-bits:
+            return steps
+        steps.append(total)
+        p /= k
+
+
+POISSON = _poisson_steps()
+
+
 def bootstrap_delta(deltas: DataFrame, draws: int = 2000, seed: int = 0) -> DataFrame:
-    """(case, d) -> mean and percentile interval; each draw weighs cases by hashed Poisson-like counts."""
-    u = F.expr(f"(pmod(xxhash64({seed}, case, draw), 1000000007) + 0.5) / 1000000007D")
-    # counts of a Poisson(1) variable by inversion
-    n = F.expr("int(u > 0.36787944117144233) + int(u > 0.7357588823428847) + int(u > 0.9196986029286058) + int(u > 0.9810118431238462) + int(u > 0.9963401531726563) + int(u > 0.9994058151824183)")
-    each = deltas.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("u", u).withColumn("w", n)
+    """(case, d) -> mean and percentile interval; each draw weighs cases by hashed Poisson(1) counts, by inversion."""
+    n = sum(((F.col("u") >= p).cast("int") for p in POISSON[1:]), (F.col("u") >= POISSON[0]).cast("int"))
+    each = deltas.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("u", u01(str(seed), F.col("case"), F.col("draw"))).withColumn("w", n)
     means = each.groupBy("draw").agg(F.expr("try_divide(sum(w * d), sum(w))").alias("m")).filter("m is not null")
     ends = means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
     return deltas.agg(F.avg("d").alias("delta"), F.count("*").alias("n")).crossJoin(F.broadcast(ends))
