@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 from persistra.operators import blocks
 from persistra.plans.oracles import CORR, DENSE, HIGH, LOW
 from persistra.plans.panels import UP
-from persistra.plans.queries import dense_log, query, rounded
+from persistra.plans.queries import QUERIES, dense_log, query, rounded
 
 ORACLES: dict[str, str] = {}
 BUDGET = 600
@@ -144,3 +144,5 @@ def summary_sql() -> str:
 def walk_checkpoints(spark, d):
     return rounded(blocks.walk_checkpoints(logs(spark, d), ["part"], CHECKPOINTS), UP)
 
+
+assert all(n in QUERIES for n in ORACLES)

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from persistra.operators import answers, census, estimators, evaluate, features, samplers, surrogates, walks
-from persistra.plans import blocks, oracles, panels, queries, reports
+from persistra.plans import blocks, families, oracles, panels, queries, reports
 from persistra.sources import streams
 
 MICRO = [("0", "1", 0.0), ("0", "1", 0.25), ("0", "1", 0.85), ("1", "2", 0.1), ("1", "2", 0.12), ("2", "3", 0.65), ("2", "3", 1.0), ("0", "3", 0.5), ("1", "3", 0.95)]
@@ -245,7 +245,7 @@ def values(rows):
     return sorted(tuple(one(v) for v in r) for r in rows)
 
 
-SQL = {**oracles.ORACLES, **panels.ORACLES, **reports.ORACLES, **blocks.ORACLES}
+SQL = {**oracles.ORACLES, **panels.ORACLES, **reports.ORACLES, **blocks.ORACLES, **families.ORACLES}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
