@@ -70,13 +70,11 @@ def parse_edges(
     delimiter: str | None = None,
     comments: tuple[str, ...] = ("#", "%"),
     bipartite: bool = False,
-    header: bool = False,
 ) -> DataFrame:
     """(value) text lines -> (u, v, t).  Columns are 0-based places of u, v and t.
 
     Comment and empty lines, short rows and rows whose t is no number are
-    dropped.  ``header`` drops lines whose t is no number anyway and is kept
-    for registries that name it; a bipartite list gets ``u:`` and ``i:`` ids.
+    dropped; a bipartite list gets ``u:`` and ``i:`` ids.
     """
     text = F.trim(F.col("value"))
     fields = F.split(text, r"\s+" if delimiter is None else rf"\s*\Q{delimiter}\E\s*")
