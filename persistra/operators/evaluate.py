@@ -196,3 +196,27 @@ FAMILIES = {"occupancy": ("occ__",), "patterns": ("pat__",), "crawl": ("crawl__"
 
 def input_columns(rows: DataFrame, name: str) -> list[str]:
     return [c for c in rows.columns if c.startswith(FAMILIES[name])]
+
+
+def oof_line(rows: DataFrame, key: str, fold: str, x: str, y: str) -> DataFrame:
+    """(key, fold, y_true, prediction): least squares of y on x over the other folds, from sums of each fold.
+
+    One aggregate over the rows; what is joined back has one row for each fold.  Null where the others do not vary."""
+    ok = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    sums = {"n": F.lit(1.0), "sx": F.col(x), "sy": F.col(y), "sxx": F.col(x) * F.col(x), "sxy": F.col(x) * F.col(y)}
+    by = ok.groupBy(fold).agg(*(F.sum(e).alias(c) for c, e in sums.items()))
+    whole = by.agg(*(F.sum(c).alias(f"t{c}") for c in sums))
+    rest = by.crossJoin(F.broadcast(whole)).select(fold, *((F.col(f"t{c}") - F.col(c)).alias(c) for c in sums))
+    slope = F.expr("try_divide(n * sxy - sx * sy, nullif(round(n * sxx - sx * sx, 12), 0D))")
+    lines = rest.withColumn("slope", slope).select(fold, "slope", F.expr("try_divide(sy - slope * sx, n)").alias("start"))
+    return ok.join(F.broadcast(lines), fold).select(key, fold, F.col(y).alias("y_true"), (F.col("start") + F.col("slope") * F.col(x)).alias("prediction"))
+
+
+def fit_quality(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Rows, R2, mean absolute error, variance of what is left and of the target."""
+    e = F.col("y_true") - F.col("prediction")
+    ok = predictions.filter("prediction is not null and y_true is not null")
+    return ok.groupBy(*by).agg(
+        F.count("*").alias("n"), (1 - ratio(F.avg(e * e), F.var_pop("y_true"))).alias("r2_oof"), F.avg(F.abs(e)).alias("mae_oof"),
+        F.var_pop(e).alias("residual_variance"), F.var_pop("y_true").alias("target_variance"),
+    )

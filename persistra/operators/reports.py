@@ -185,3 +185,17 @@ def noise_design(cells: DataFrame, repeats: int, seeds: int) -> DataFrame:
     arm = lambda name, seed, rep: cells.withColumn("arm", F.lit(name)).withColumn("seed", seed).withColumn("rep", rep)
     upto = lambda n: F.explode(F.sequence(F.lit(1), F.lit(n)))
     return arm("response", F.lit(1), upto(repeats)).unionByName(arm("input", upto(seeds), F.lit(1)))
+
+
+def inventory(records: DataFrame, by: Sequence[str], value: str, complete: str, anchor: float, near: float = 1e-6) -> DataFrame:
+    """What a set of answers holds, for each condition: records, distinct prompts, complete and valid shares, the share
+    at the anchor value that a prompt shows, the share of answers that some other answer repeats."""
+    valid = F.expr(f"{complete} and {value} between 0 and 1")
+    marked = records.withColumn("_ok", F.coalesce(valid, F.lit(False)))
+    counts = marked.groupBy(*by).agg(
+        F.count("*").alias("records"), F.count_distinct("prompt_id").alias("prompts"), F.avg(F.expr(f"double(coalesce({complete}, false))")).alias("complete_share"),
+        F.avg(F.expr("double(_ok)")).alias("valid_share"), F.avg(F.expr(f"if(_ok, double(abs({value} - {anchor}D) <= {near}D), null)")).alias("anchor_share"),
+    )
+    again = marked.filter("_ok").groupBy(*by, value).agg(F.count("*").alias("c")).groupBy(*by)
+    repeats = again.agg((F.sum(F.expr("if(c > 1, c, 0)")) / F.sum("c")).alias("repeated_share"))
+    return counts.join(repeats, list(by), "left")

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from persistra.operators import families, features
-from persistra.operators.evaluate import nearest_profiles
+from persistra.operators import evaluate, families, reports
 from persistra.plans.cases import cases, nation_events, truth
-from persistra.plans.oracles import CASES, CUST_SUPP, DENSE, NATION, u01
+from persistra.plans.oracles import CASES, CUST_SUPP, DENSE, FOLDS, NATION, RECORDS, u01
 from persistra.plans.panels import UP, _r
-from persistra.plans.queries import QUERIES, dense_seen, query, rounded
+from persistra.plans.queries import QUERIES, answer_records, dense_seen, query, rounded
 from persistra.sources.streams import cust_supp, table
 
 ORACLES: dict[str, str] = {}
@@ -73,7 +72,7 @@ def calibration_report(spark, d):
 
 def _pairs(spark, d):
     t = truth(nation_events(spark, d))
-    near = nearest_profiles(t, "instance_id", ["true_2", "true_3", "true_4", "true_5"])
+    near = evaluate.nearest_profiles(t, "instance_id", ["true_2", "true_3", "true_4", "true_5"])
     of = lambda s: t.select(F.col("instance_id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("true_2", "true_3", "true_4", "true_5", "true_c")))
     both = near.join(F.broadcast(of("a")), "a").join(F.broadcast(of("b")), "b")
     delta = F.greatest(*(F.abs(F.col(f"a_true_{k}") - F.col(f"b_true_{k}")) for k in range(2, 6)))
@@ -108,4 +107,25 @@ def farthest_pick(spark, d):
     return families.farthest_pick(table(spark, d, "supplier").select("s_nationkey", "s_suppkey", F.col("s_acctbal").cast("double").alias("s_acctbal")), ["s_nationkey"], "s_suppkey", "s_acctbal", QUOTA)
 
 
+@family(f"""WITH {NATION}, {FOLDS}, f AS (SELECT instance_id, fold, true_2, true_3, true_c FROM truth JOIN folds USING (group_id)),
+  long AS (SELECT instance_id, fold, 'rho_2' AS feature, true_2 AS x, true_c AS y FROM f UNION ALL SELECT instance_id, fold, 'rho_3', true_3, true_c FROM f),
+  p AS (SELECT a.feature, a.y, (SELECT regr_intercept(b.y, b.x) + regr_slope(b.y, b.x) * a.x FROM long b WHERE b.feature = a.feature AND b.fold <> a.fold) AS p FROM long a WHERE a.x IS NOT NULL AND a.y IS NOT NULL)
+  SELECT feature, count(*) AS n, {_r("1 - avg((y - p) ** 2) / var_pop(y)", "r2_oof")}, {_r("avg(abs(y - p))", "mae_oof")}, {_r("var_pop(y - p)", "residual_variance")}, {_r("var_pop(y)", "target_variance")}
+  FROM p WHERE p IS NOT NULL GROUP BY feature""")
+def retention_from_profile(spark, d):
+    t = truth(nation_events(spark, d)).withColumn("fold", F.expr("int(substr(group_id, 2)) % 3"))
+    fit = lambda x: evaluate.fit_quality(evaluate.oof_line(t, "instance_id", "fold", x, "true_c")).withColumn("feature", F.lit(x.replace("true", "rho")))
+    return rounded(fit("true_2").unionByName(fit("true_3")), UP)
+
+
+@family(f"""WITH {RECORDS}, m AS (SELECT *, user_id % 4 AS model, complete AND x BETWEEN 0 AND 1 AS ok FROM rec),
+  a AS (SELECT model, count(*) AS records, count(DISTINCT prompt_id) AS prompts, {_r("avg(complete::INT::DOUBLE)", "complete_share")}, {_r("avg(coalesce(ok, false)::INT::DOUBLE)", "valid_share")},
+    {_r("avg(CASE WHEN ok THEN (abs(x - 0.25) <= 1e-6)::INT::DOUBLE END)", "anchor_share")} FROM m GROUP BY model),
+  b AS (SELECT model, {_r("sum(CASE WHEN c > 1 THEN c ELSE 0 END)::DOUBLE / sum(c)", "repeated_share")} FROM (SELECT model, x, count(*) AS c FROM m WHERE ok GROUP BY ALL) GROUP BY model)
+  SELECT model::BIGINT AS model, records, prompts, complete_share, valid_share, anchor_share, repeated_share FROM a LEFT JOIN b USING (model)""")
+def answer_inventory(spark, d):
+    records = answer_records(spark, d).withColumn("model", F.col("model_id") % 4)
+    return rounded(reports.inventory(records, ["model"], "x", "complete", 0.25), UP)
+
+
 assert all(n in QUERIES for n in ORACLES)
