@@ -309,7 +309,12 @@ def confirmed(dealt: DataFrame, scratch: Scratch, width: int = WIDTH, gram: int
     scratch.forget_shuffles()
     twice = opened.groupBy(*passage).agg(F.sum("weight").alias("n")).filter("n > 1").select(*passage)
     parts = opened.filter("weight = 1").select("blk", *passage).distinct().join(twice, passage)
-    return routed.filter("full").select("blk", *passage).unionByName(parts.select("blk", *passage))
+    known = scratch.keep(routed.filter("full").select("blk", *passage).unionByName(parts.select("blk", *passage)), "known")
+    # the documents are dealt once more, with nothing of the steps before beside them
+    scratch.drop("routed", "opened")
+    del routed, opened, twice, parts
+    scratch.forget_shuffles()
+    return known
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, carry: list[str] | None = None) -> DataFrame:
