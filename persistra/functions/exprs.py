@@ -33,5 +33,11 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), F.nullif(b.cast("double"), F.lit(0.0)))
 
 
+def mean(c: str) -> Column:
+    """Mean of a double in any order of rows: twelve places are averaged as decimals, what they leave (or all of what is too great) as doubles."""
+    fixed = f"if({c} is null, null, coalesce(try_cast({c} as decimal(28, 12)), 0))"
+    return F.expr(f"cast(avg({fixed}) as double) + avg({c} - cast({fixed} as double))")
+
+
 def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)

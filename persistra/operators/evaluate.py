@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from persistra.functions.exprs import ratio
+from persistra.functions.exprs import mean, ratio
 
 
 def clip(c: Column) -> Column:
@@ -101,7 +101,7 @@ def fold_floors(rows: DataFrame, folds: DataFrame, by: Sequence[str] = ()) -> Da
     placed = rows.join(folds, [*by, "group_id"])
     each = folds.select(*by, F.col("fold").alias("held")).distinct()
     train = placed.join(each, list(by)) if by else placed.crossJoin(F.broadcast(each))
-    return train.filter("fold <> held").groupBy(*by, F.col("held").alias("fold")).agg(F.avg("y_true").alias("mean_floor"), F.percentile("y_true", F.lit(0.5)).alias("median_floor"))
+    return train.filter("fold <> held").groupBy(*by, F.col("held").alias("fold")).agg(mean("y_true").alias("mean_floor"), F.percentile("y_true", F.lit(0.5)).alias("median_floor"))
 
 
 def logo_floor(rows: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -5,7 +5,8 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from persistra.operators import answers, reports
+from persistra.functions.exprs import mean
+from persistra.operators import answers, evaluate, reports
 
 
 def test_stable_seed_is_crc32_of_joined_parts(spark):
@@ -75,3 +76,13 @@ def test_empty_tables(spark):
     assert reports.against_baseline(cases.withColumn("b", F.lit(0.2)), [], "strategy", "pred_2", "b", "true_2").count() == 0
     assert reports.rescored(cases, cases, "case_id", "true_2", ["pred_2"]).count() == 0
     assert reports.integrity(cases, "case_id", ["true_2"], "instance_id", "group_id").first().n == 0
+
+
+def test_fold_means_are_exact_where_a_sum_of_doubles_is_not(spark):
+    # (0.971513 + 0.022534) / 2 as doubles is 0.49702349999999995 and rounds down
+    y = {"a": [0.971513, 0.022534, None], "b": [1e17, 1e17, 3e17], "c": [float("inf"), 1.0], "d": [1.0 / 3, 1e-20]}
+    rows = spark.createDataFrame([(g, x) for g, xs in y.items() for x in xs], "group_id string, y_true double")
+    folds = spark.createDataFrame([(g, i, k) for k in y for g, i in ((k, 1), ("none", 0))], "group_id string, fold int, k string")
+    got = {r.k: r.mean_floor for r in evaluate.fold_floors(rows.withColumn("k", F.col("group_id")), folds, ["k"]).collect()}
+    assert got["a"] == 0.4970235 and abs(got["b"] / (5e17 / 3) - 1) < 1e-15 and got["c"] == float("inf") and abs(got["d"] - 1 / 6) < 1e-16
+    assert [r[0] for r in rows.filter("group_id = 'a'").agg(F.round(mean("y_true"), 6)).collect()] == [0.497024]
