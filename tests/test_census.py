@@ -265,3 +265,49 @@ def test_entry(spark):
 
     assert e.entry(spark).first().n_pairs > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_walks_over_streamed_runs_are_those_over_events_in_memory(spark, monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    rows = sorted({(float(t), f"n{a}", f"n{b}") for t, a, b in zip(np.round(rng.random(150), 1), rng.integers(0, 7, 150), rng.integers(0, 7, 150))})
+    times = rng.integers(1, 5, len(rows)).tolist()
+    t, u, v = (np.array(x, object) for x in zip(*(r for r, n in zip(rows, times) for _ in range(n))))
+    events = walks.Index(u, v, t)
+    ends = sorted((e, *r, n, side) for r, n in zip(rows, times) for side, e in enumerate(r[1:]))
+    names = ("node", "t", "u", "v", "c", "side")
+    table = pa.table([pa.array(x, pa.int8() if c == "side" else None) for c, x in zip(names, zip(*ends))], names)
+    table = table.append_column("other", pa.array([r[3 - r[5]] for r in ends]))
+    monkeypatch.setattr(walks, "PIECE", 3)
+    runs = walks.Index.of(table.to_batches(max_chunksize=7))
+    for seed in range(3):
+        for name in walks.STRATEGIES:
+            assert walks.walk(events, name, 200, seed, 5) == walks.walk(runs, name, 200, seed, 5)
+        for k in (1, 5, None):
+            assert walks.ego_snowball(events, 400, seed, k) == walks.ego_snowball(runs, 400, seed, k)
+    with pytest.raises(ValueError, match="sorted"):
+        walks.Index.of(table.take(rng.permutation(len(ends))).to_batches())
+    df = spark.createDataFrame([("x", a, b, c) for a, b, c in zip(u, v, t)], "instance_id string, u string, v string, t double").repartition(3)
+    got = walks.run_walks(df.union(df.selectExpr("'y'", "u", "v", "t + 1")), ["time_respecting", "ego_recent_k5"], 100)
+    for log, name in ((walks.walk(events, "time_respecting", 100, 0), "time_respecting"), (walks.ego_snowball(events, 100, 0, 5), "ego_recent_k5")):
+        assert [tuple(r) for r in got.filter(f"instance_id = 'x' and strategy = '{name}'").orderBy("pos").select("kind", "node", "u", "v", "t").collect()] == [r[:5] for r in log]
+    assert got.filter("instance_id = 'y'").count() == got.filter("instance_id = 'x'").count() == 100 + len(walks.ego_snowball(events, 100, 0, 5))
+    # a network of 10^9 equal events, then one of 2 million events: 42 MB of index, not held
+    monkeypatch.undo()
+    billion = pa.RecordBatch.from_pydict({"node": ["a", "b"], "other": ["b", "a"], "t": [1.0, 1.0], "c": [10**9] * 2, "side": pa.array([0, 1], pa.int8())})
+    assert len(walks.ego_snowball(walks.Index.of([billion]), 50, 0, None)) == 50 and len(walk_of(walks.Index.of([billion]), "recency_biased")) == 200
+
+    def long(n=10_000):
+        for x in "ab":
+            for i in range(100):
+                yield pa.RecordBatch.from_pydict({"node": [x] * n, "other": ["ab".replace(x, "")] * n, "t": np.arange(i * n, i * n + n, dtype=float), "c": np.ones(n, np.int64), "side": np.full(n, "ab".index(x), np.int8)})
+
+    tracemalloc.start()
+    log = walk_of(walks.Index.of(long()), "time_agnostic_t")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(log) == 200 and peak < 24e6
