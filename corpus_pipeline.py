@@ -51,9 +51,12 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     other = stay.join(stay.groupBy("label").agg(F.min("digest").alias("least")), "label").filter("digest <> least")
     gone = keys.filter("not kept").select(*key).unionByName(other.select(*key))
     again = stay.filter("n > 1").select(*key).join(other.select(*key), key, "left_anti")
-    single = docs.join(gone.unionByName(again), key, "left_anti").select(*COLUMNS)
+    # no key in these is null; <=> keeps the engine from filtering one side's docs, so both joins read one exchange of the texts
+    same = F.expr("doc_id <=> one_id and digest <=> one_digest")
+    of = lambda found: found.toDF("one_id", "one_digest")
+    single = docs.join(of(gone.unionByName(again)), same, "left_anti").select(*COLUMNS)
     row = F.min(F.struct(*COLUMNS)).alias("row")
-    return single.unionByName(docs.join(again, key, "left_semi").groupBy(*key).agg(row).select("row.*"))
+    return single.unionByName(docs.join(of(again), same, "left_semi").groupBy(*key).agg(row).select("row.*"))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,6 +33,10 @@ null doc_id is linked with nothing; its component_id is null and kept is true.
 A text of any length is one row; its set must fit a worker several times over.
 An empty table gives an empty result.  Extra columns of the input are ignored,
 whatever their names.
+
+Disk.  The shuffle files of a written table go before the next large one is
+made, not when the driver happens to collect garbage; the peak is one exchange
+of the texts beside the tables kept.
 """
 
 from __future__ import annotations
@@ -240,6 +244,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH, carr
         .select("node", "n_shingles", F.expr("aggregate(vs, 0L, (t, x) -> t + x.c)").alias("central"), F.expr("slice(vs.v, 1, int(take))").alias("listed")),
         "prefix",
     )
+    scratch.forget_shuffles()
     lists = prefix.select("node", "n_shingles", "central", F.explode("listed").alias("v"))
     listed = prefix.select("node").join(nodes.select("node", "rep", "sig"), "node")
     full = scratch.keep(
@@ -249,6 +254,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH, carr
         .dropDuplicates(["node"]),
         "full",
     )
+    scratch.forget_shuffles()
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         side = lambda c: full.select(F.col("node").alias(c), F.col("full").alias(f"f{c}"))
@@ -263,6 +269,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH, carr
     best = likely.select("b", F.explode(F.expr("slice(ms.a, 1, 2)")).alias("a"))
     # links are few and small: one exchange, so that they are not written as a file for each task that compared sets
     edges = scratch.keep(confirmed(best).distinct(), "stars")
+    scratch.forget_shuffles()
     comps = scratch.keep(connected_components(edges, scratch), "comps")
 
     # what still lies in several components of one list: members outside the list's largest against all
@@ -289,6 +296,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH, carr
         .distinct()
     )
     close = scratch.keep(_estimated(across, nodes, percent), "close")
+    scratch.forget_shuffles()
     blocked = (
         rest.filter(f"c > {SHORT_LIST}")
         .join(prefix.select("node", "listed"), "node")
@@ -310,6 +318,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH, carr
         "groups",
     )
     scratch.drop("prefix", "full", "stars", "comps", "rest", "close", "edges", "nodes")
+    scratch.forget_shuffles()
     least = groups.groupBy("label").agg(F.min("rep").alias("component_id"))
     return (
         rows.select("doc_id", "n_shingles", "sig", *(carry or []))

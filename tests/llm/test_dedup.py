@@ -2,12 +2,14 @@
 
 import random
 import re
+import time
 
 import pytest
 
+import corpus_pipeline
 from persistra.llm.minhash_dedup import near_duplicates
 from persistra.llm.phrase_dedup import Line, Passages, Runs, remove_repeats
-from persistra.llm.base import WordHashes, portions
+from persistra.llm.base import Scratch, WordHashes, portions
 
 LOWER = {i: chr(i + 32) for i in range(65, 91)}
 SCHEMA = "doc_id long, text string, blk string, node string, sig string"
@@ -189,3 +191,52 @@ def test_portions_cover_all_rows():
     sizes = np.array([3, 50, 0, 0, 9, 9, 1])
     cut = portions(sizes, 10)
     assert [lo for lo, _ in cut] == [0] + [hi for _, hi in cut][:-1] and cut[-1][1] == 7
+
+
+def shuffles(spark):
+    """Ids of shuffles that have files on disk."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {int(m[1]) for i in range(files.size()) if (m := re.match(r"shuffle_(\d+)_", files.apply(i).getName()))}
+
+
+def test_shuffle_files_go_once_their_table_is_written(spark, monkeypatch):
+    """When a large table is begun, no shuffle files of the ones before are left."""
+    Scratch.clear()
+    older, keep, left = shuffles(spark), Scratch.keep, {}
+
+    def watched(scratch, df, name):
+        for _ in range(50):  # files are deleted in the background
+            left[name] = shuffles(spark) - older
+            if name not in ("full", "stars", "edges") or not left[name]:
+                break
+            time.sleep(0.1)
+        return keep(scratch, df, name)
+
+    monkeypatch.setattr(Scratch, "keep", watched)
+    near_duplicates(frame(spark, corpus(random.Random(4))))
+    assert {x: left[x] for x in ("full", "stars")} == {"full": set(), "stars": set()}
+
+
+def test_one_of_each_group_exchanges_texts_once(spark, tmp_path):
+    rows = corpus(random.Random(6)) + EDGES
+    docs = [(i, t, "en", "s%d" % (k % 2), k) for k, (i, t) in enumerate(rows)] + [(i, t, "en", "r", 0) for i, t in rows[:20]]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/docs")
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        stay = corpus_pipeline.one_of_each_group(spark, spark.read.parquet(f"{tmp_path}/docs"), "")
+        got = stay.collect()
+        plan = stay._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set(name, before)
+    assert len(re.findall(r"FileScan parquet \[doc_id#\d+L,text#", plan)) == 1 and "ReusedExchange" in plan
+    # one row for each component with words, of those with the least id; rows without an id or without words stay
+    plain = [(i, t) for i, t, *_ in docs]
+    grouped = [(i, c, t) for (i, t), (_, n, c) in zip(plain, components(plain)) if i is not None and n]
+    assert sorted(r.doc_id for r in got if r.doc_id is not None and words(r.text)) == sorted({c for _, c, _ in grouped})
+    assert sum(r.doc_id is None or not words(r.text) for r in got) == sum(i is None or not words(t) for i, t in plain)
+    for r in got:
+        if r.doc_id is not None and words(r.text):
+            least = min(x for x in docs if (x[0], x[1]) == (r.doc_id, r.text))
+            assert tuple(r) == least
